@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from docproof.llm.fingerprints import op8_fingerprints
+from docproof.llm.mixing import OP9_SQL, op9_mixing
 from docproof.llm.packing import op10_packing
+from docproof.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": OP9_SQL,
+}
