@@ -17,6 +17,7 @@ its own next document; an empty table gives no rows; further columns are ignored
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ LEXICON_BITS = 20
 #: The band: terms in at most this share of the documents, and in at least this many of them.
 MOST_SHARE, LEAST_COUNT = 0.02, 2
 #: Every so many-th lexicon term is in a subset of the scale; subsets of each scale.
-SCALES, SEEDS = (2, 8, 32, 128, 512, 2048), 8
+SCALES, SEEDS = (2, 8, 32, 128, 512, 2048), 12
 
 
 def term_hashes(text: Column) -> Column:
@@ -61,13 +62,17 @@ def in_lexicon(terms: Column, bits: Column) -> Column:
     return F.array_sort(F.filter(terms, has))
 
 
+def in_subset(terms: str, seed: int, scale: int) -> Column:
+    """A seed looks at its own bits of the term hash; a larger scale keeps a part of the smaller one's terms."""
+    return F.filter(terms, lambda t: F.shiftright(t, 4 * seed).bitwiseAND(F.lit(scale - 1).cast("long")) == 0)
+
+
 def fingerprint_parts(df: DataFrame, name: str, terms: str) -> DataFrame:
     """Adds `name`, the parts of the fingerprint of the sorted lexicon terms in column `terms`."""
     kept = [terms] * SEEDS
     for k, scale in enumerate(SCALES):
         now = [f"__{name}_{k}_{seed}" for seed in range(SEEDS)]
-        # a seed looks at its own bits of the term hash; a larger scale keeps a part of the smaller one's terms
-        df = df.select("*", *[F.filter(kept[s], lambda t, s=s: F.shiftright(t, 5 * s).bitwiseAND(F.lit(scale - 1).cast("long")) == 0).alias(now[s]) for s in range(SEEDS)])
+        df = df.select("*", *[in_subset(kept[s], s, scale).alias(now[s]) for s in range(SEEDS)])
         kept = now
     parts = [F.when(F.size(c) > 0, F.hash(c)).otherwise(0) for c in (f"__{name}_{k}_{s}" for k in range(len(SCALES)) for s in range(SEEDS))]
     return df.select("*", F.array(*parts).alias(name)).drop(*[f"__{name}_{k}_{s}" for k in range(len(SCALES)) for s in range(SEEDS)])
@@ -101,7 +106,8 @@ def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited, next_parts, and the fingerprint parts of text and edited text."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = lexicon(slim).scalar()
+    # one row of fixed size (2**LEXICON_BITS bits); Spark takes no subquery inside a lambda
+    bits = F.lit(np.array(lexicon(slim).first()[0], np.int64))
     order = W.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = (
