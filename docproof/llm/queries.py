@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from docproof.llm.fingerprints import op8_fingerprints
+from docproof.llm.licenses import OP6_SQL, op6_licenses
 from docproof.llm.mixing import OP9_SQL, op9_mixing
+from docproof.llm.neighbours import op4_neighbours
 from docproof.llm.packing import op10_packing
 from docproof.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op4_neighbours": op4_neighbours,
+    "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
@@ -15,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": OP6_SQL,
     "op9_mixing": OP9_SQL,
 }
