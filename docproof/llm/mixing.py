@@ -98,18 +98,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
     slots = schedule(shares, slot_bits)
     bucket = F.conv(F.substring("place", 1, 2), 16, 10).cast("int")
     placed = sized.withColumn("bucket", bucket)
+    taken_up_to = slots.groupBy("source").agg((F.count("*") * F.max("block_words")).alias("reach"), F.max("block_words").alias("block_words"))
+    facts = shares.join(taken_up_to, "source", "left")
     before = (
         placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         .withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
         .select("source", "bucket", "before")
+        .join(facts, "source")  # few rows; the documents then meet all of it by source and bucket, never by source alone
     )
     inside = W.partitionBy("source", "bucket").orderBy("place", "uid").rowsBetween(W.unboundedPreceding, 0)
-    taken_up_to = slots.groupBy("source").agg((F.count("*") * F.max("block_words")).alias("reach"), F.max("block_words").alias("block_words"))
-    facts = shares.join(taken_up_to, "source", "left")
     streams = (
         placed.withColumn("upto", F.sum("size").over(inside))
         .join(before, ["source", "bucket"])
-        .join(facts, "source")
         .withColumn("first", F.col("before") + F.col("upto") - F.col("size"))
         .drop("before", "upto", "bucket", "place")
     )
