@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docproof.llm._common import mixed, powers, small_batches, table, text_bytes, text_slices
 
@@ -294,7 +295,7 @@ def attach(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs and `__score`."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = docs.schema.add("__score", "double")
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
     return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), docs.columns.index("text")), schema)
 
 
