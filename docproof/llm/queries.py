@@ -7,10 +7,16 @@ from docproof.llm.licenses import OP6_SQL, op6_licenses
 from docproof.llm.mixing import OP9_SQL, op9_mixing
 from docproof.llm.neighbours import op4_neighbours
 from docproof.llm.packing import op10_packing
+from docproof.llm.shingles import op5_shingles
+from docproof.llm.substrings import op1_substrings
+from docproof.llm.suffixes import op2_suffixes
 from docproof.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
+    "op2_suffixes": op2_suffixes,
     "op4_neighbours": op4_neighbours,
+    "op5_shingles": op5_shingles,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
