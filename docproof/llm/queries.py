@@ -10,11 +10,13 @@ from docproof.llm.packing import op10_packing
 from docproof.llm.shingles import op5_shingles
 from docproof.llm.substrings import op1_substrings
 from docproof.llm.suffixes import op2_suffixes
+from docproof.llm.token_store import op3_token_store
 from docproof.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_suffixes": op2_suffixes,
+    "op3_token_store": op3_token_store,
     "op4_neighbours": op4_neighbours,
     "op5_shingles": op5_shingles,
     "op6_licenses": op6_licenses,
