@@ -36,7 +36,7 @@ from docproof.llm._common import saved, shuffle_parts, small_batches, table
 CENTROIDS, FIT_ROWS, PROBE_QUERIES, PROBE_ROWS = 32, 10_000, 200, 10_000
 #: Aimed at in calibration; the promised recall is 0.9.
 RECALL = 0.96
-#: Entries are dealt by their first half's centroid and cut into blocks: of a 64th of all rows, within
+#: Entries are dealt by their first half's centroid and cut into blocks: of a 12th of all rows, within
 #: these bounds, whatever one cell holds. Queries come in blocks of at most so many.
 BLOCK_ROWS, QUERY_ROWS = (500, 50_000), 8192
 
@@ -46,6 +46,14 @@ class Index:
     books: tuple[np.ndarray, np.ndarray]  # centroids of the halves
     counts: np.ndarray  # entries by cell, [K, K]
     share: float
+    ids: np.ndarray  # the sample's ids and vectors
+    sample: np.ndarray
+    sample_cells: np.ndarray
+
+    def bound(self, query_id: int, query: np.ndarray, visited: np.ndarray, k: int) -> float:
+        """The query's k-th best score among the visited cells' part of the sample: that of all their rows is no smaller."""
+        scores = (self.sample @ query)[(self.ids != query_id) & (visited[self.sample_cells] > 0)]
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """The cell of each vector."""
@@ -112,7 +120,7 @@ def calibrated(index: Index, queries: np.ndarray, rows: np.ndarray, k: int, reca
     if len(rows) <= k or not len(queries):
         return 1.0
     cells = index.cells(rows)
-    own = Index(index.books, np.bincount(cells, minlength=index.counts.size).reshape(index.counts.shape), 1.0)
+    own = Index(index.books, np.bincount(cells, minlength=index.counts.size).reshape(index.counts.shape), 1.0, index.ids, index.sample, index.sample_cells)
     ranks = []
     cell_at = np.zeros(index.counts.size)
     for q in queries:
@@ -152,8 +160,8 @@ def build(rows: DataFrame, k: int, centroids: int = CENTROIDS, recall: float = R
     if not sample:
         return None
     x = np.array([r.v for r in sample])
-    index = Index(tuple(kmeans(h, centroids) for h in halves(x)), np.zeros(1, int), 1.0)
-    index.counts = np.zeros((len(index.books[0]), len(index.books[1])), int)
+    index = Index(tuple(kmeans(h, centroids) for h in halves(x)), np.zeros(1, int), 1.0, np.array([r.vec_id for r in sample]), x, np.zeros(0, int))
+    index.counts, index.sample_cells = np.zeros((len(index.books[0]), len(index.books[1])), int), index.cells(x)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     index, celled = built
     shared = spark.sparkContext.broadcast(index)
     second, total = index.counts.shape[1], int(index.counts.sum())
-    block = min(max(BLOCK_ROWS[0], total // 64), BLOCK_ROWS[1])
+    block = min(max(BLOCK_ROWS[0], total // 12), BLOCK_ROWS[1])
     salts = np.maximum(1, -(-index.counts.sum(1) // block))
     salt_of = F.get(F.array(*[F.lit(int(n)) for n in salts]), F.col("part"))
 
@@ -192,11 +200,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 cells = np.array(shared.value.walk(q), np.int64)
                 mask = np.zeros(index_cells, np.uint8)
                 mask[cells] = 1
-                packed, raw = np.packbits(mask).tobytes(), q.tobytes()
-                rows += [(i, raw, packed, int(p), s) for p in np.unique(cells // second) for s in range(int(salts[p]))]
+                packed, raw, bound = np.packbits(mask).tobytes(), q.tobytes(), shared.value.bound(i, q, mask, k)
+                rows += [(i, raw, packed, bound, int(p), s) for p in np.unique(cells // second) for s in range(int(salts[p]))]
             for first in range(0, len(rows), 5000):
                 cols = list(zip(*rows[first : first + 5000], strict=True))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "q", "mask", "part", "salt"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "q", "mask", "bound", "part", "salt"])
 
     def rerank(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -208,6 +216,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         lasts = np.append(firsts[1:], len(cells))
         asked, q = np.asarray(right["query_id"]), np.frombuffer(b"".join(right["q"].to_pylist()), np.float64).reshape(len(right), -1)
         masks = np.unpackbits(np.frombuffer(b"".join(right["mask"].to_pylist()), np.uint8).reshape(len(right), -1), axis=1)
+        bounds = np.asarray(right["bound"])
         found: list[tuple] = []
         for at in range(0, len(asked), 256):
             some = slice(at, at + 256)
@@ -215,13 +224,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             for first, last in zip(firsts, lasts, strict=True):
                 who = np.flatnonzero(masks[some, cells[first]])
                 scores[who, first:last] = q[some][who] @ x[first:last].T
-            for query_id, vector, score in zip(asked[some], q[some], scores, strict=True):
+            for query_id, vector, score, bound in zip(asked[some], q[some], scores, bounds[some], strict=True):
                 score[ids == query_id] = -np.inf
-                near = np.arange(len(ids))
-                if len(ids) > k:  # all within rounding of the k-th best
-                    least = np.partition(score, len(score) - k)[len(score) - k]
-                    near = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else near
-                near = near[np.isfinite(score[near])]
+                least = max(bound, np.partition(score, len(score) - k)[len(score) - k] if len(ids) > k else -np.inf)
+                # all within rounding of the k-th best
+                near = np.flatnonzero((score >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else score > -np.inf))
                 exact = products(x[near], vector)
                 best = top(exact, ids[near], k)
                 found += zip([int(query_id)] * len(best), ids[near][best].tolist(), exact[best].tolist(), strict=True)
@@ -236,7 +243,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         .withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt_of).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
-    asked = wanted.repartition(shuffle_parts(spark)).mapInArrow(visit, "query_id long, q binary, mask binary, part int, salt int")
+    asked = wanted.repartition(shuffle_parts(spark)).mapInArrow(visit, "query_id long, q binary, mask binary, bound double, part int, salt int")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     keys = ["part", "salt", "block"]
     found = entries.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, out)
