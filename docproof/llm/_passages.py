@@ -11,7 +11,8 @@ Both find repeats in three steps that never pair up occurrences:
 
 Occurrences are packed into binary rows, one for each task and bucket, and tasks settle what they
 can before the shuffle; the largest group therefore brings a task one entry for each task before it
-and distinct context. The texts cross one shuffle, which all three steps read.
+and distinct context. Answers to documents are packed as well, by bucket
+of row keys. The texts cross one shuffle, which all three steps read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm._common import mixed, order_key, row_key, shuffle_parts, small_batches, text_slices
+from docproof.llm._common import SLICE_BYTES, mixed, order_key, row_key, shuffle_parts, small_batches, text_slices
 
 #: 3 modulo 4, so that few low bits of the differences of powers vanish.
 BASE, SECOND_BASE = 0x9E3779B97F4A7C17, 0xD1342543DE82EF97
@@ -102,15 +103,49 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def by_row(row: np.ndarray, pos: np.ndarray, flag: int) -> Iterator[tuple[int, bytes]]:
-    """(row key, payload) for each row key: the flag and the sorted positions."""
-    if not len(row):
-        return
-    order = np.lexsort((pos, row))
-    row, pos = row[order], pos[order].astype("<u4")
-    cuts = np.flatnonzero(starts_of(row))
-    for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
-        yield int(row[a]), bytes([flag]) + pos[a:b].tobytes()
+def runs(new: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal keys, from the marks of starts_of."""
+    cuts = np.flatnonzero(new).tolist()
+    return list(zip(cuts, [*cuts[1:], len(new)], strict=True)) if cuts else []
+
+
+def answer(row: np.ndarray, pos: np.ndarray, flag: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Positions for documents, as one payload for each bucket of row keys. Documents have an eighth as many
+    buckets as hashes: a step's answers are a fraction of its questions, and rows stay few."""
+    buckets = max(1, buckets // 8)
+    bucket = (mixed(row.astype(np.int64).view(np.uint64)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    order = np.lexsort((pos, row, bucket))
+    row, pos, bucket = row[order], pos[order], bucket[order]
+    for a, b in runs(starts_of(bucket)):
+        yield 1, int(bucket[a]), bytes([flag]) + np.uint32(b - a).tobytes() + row[a:b].astype("<i8").tobytes() + pos[a:b].astype("<u4").tobytes()
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its positions, a payload for each flag."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in batches:
+        for p in b.column(2).to_pylist():
+            n = int(np.frombuffer(p, "<u4", 1, 1)[0])
+            found.setdefault(p[0], []).append((np.frombuffer(p, "<i8", n, 5), np.frombuffer(p, "<u4", n, 5 + 8 * n)))
+    rows, flags, positions_ = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint32)]
+    for flag, parts in found.items():
+        rows += [r for r, _ in parts]
+        positions_ += [p for _, p in parts]
+        flags.append(np.full(sum(len(r) for r, _ in parts), flag, np.uint8))
+    found.clear()
+    row, flag, pos = np.concatenate(rows), np.concatenate(flags), np.concatenate(positions_)
+    order = np.lexsort((pos, flag, row))
+    row, flag, pos = row[order], flag[order], pos[order]
+    keep = starts_of(row, flag, pos)
+    row, flag, pos = row[keep], flag[keep], pos[keep].astype("<u4")
+    keys, payloads = [], []
+    for a, b in runs(starts_of(row, flag)):
+        if not keys or keys[-1] != row[a]:
+            keys.append(int(row[a]))
+            payloads.append([])
+        payloads[-1].append(bytes([flag[a]]) + pos[a:b].tobytes())
+    for k in range(0, len(keys), 2000):
+        yield pa.record_batch([pa.array(keys[k : k + 2000], pa.int64()), pa.array(payloads[k : k + 2000], pa.list_(pa.binary()))], names=["row", "payloads"])
 
 
 OUT = "kind int, key long, payload binary"
@@ -139,8 +174,7 @@ def dealt(cols: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, int,
     bucket = (cols["h"] >> np.uint64(32)).astype(np.int64) * buckets >> 32
     order = np.argsort(bucket, kind="stable")  # within a bucket the rows stay together
     cols, bucket = take(cols, order), bucket[order]
-    cuts = np.flatnonzero(starts_of(bucket))
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+    for a, b in runs(starts_of(bucket)):
         yield 0, int(bucket[a]), pack(take(cols, slice(a, b)))
 
 
@@ -157,39 +191,40 @@ def first_of_class(cols: dict[str, np.ndarray], within_document: bool) -> tuple[
     return cols, same
 
 
-def sender(entries: Callable[[pa.RecordBatch], tuple], buckets: int, within_document: bool, flag: int):
+def sender(entries: Callable[[pa.RecordBatch], tuple], buckets: int, within_document: bool, flag: int, slice_bytes: int = SLICE_BYTES):
     """Sends entries to the buckets of their hash, and settled ones straight to their documents.
 
-    entries(batch) -> (index of the row, pos, h, c), and rows (key, payload) to pass on to documents."""
+    entries(batch) -> (index of the row, pos, h, c), and (rows, positions) settled before, to pass on."""
 
-    def flush(held: list[dict]) -> Iterator[tuple[int, int, bytes]]:
-        cols, first = first_of_class({f: np.concatenate([x[f] for x in held]) for f in FIELDS}, within_document)
+    def flush(held: list[dict], through: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        cols, first = first_of_class({f: np.concatenate([np.zeros(0, ENTRY[f]), *(x[f] for x in held)]) for f in FIELDS}, within_document)
         late = take(cols, ~first)
-        yield from ((1, r, p) for r, p in by_row(late["row"], late["pos"], flag))
+        yield from answer(late["row"], late["pos"], flag, buckets)
+        if through:
+            yield from answer(*(np.concatenate(x) for x in zip(*through, strict=True)), SETTLED, buckets)
         kept = take(cols, first)
         yield from dealt(take(kept, np.lexsort((kept["pos"], kept["row"]))), buckets)  # equal rows side by side compress well
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, through, size = [], [], 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                (k, pos, h, c), through = entries(part)
-                if through:
-                    yield out_batch([(1, key, p) for key, p in through])
+            for part in text_slices(batch, "text", slice_bytes):
+                (k, pos, h, c), settled = entries(part)
+                if settled:
+                    through.append(settled)
                 if len(k):
                     doc, row = (part.column(x).to_numpy(zero_copy_only=False) for x in ("doc", "row"))
                     held.append({"h": h, "c": c, "doc": doc[k], "row": row[k], "pos": pos})
                 size += part.column("text").nbytes
-                if size >= FLUSH_BYTES and held:
-                    yield from in_batches(flush(held))
-                    held, size = [], 0
-        if held:
-            yield from in_batches(flush(held))
+                if size >= FLUSH_BYTES:
+                    yield from in_batches(flush(held, through))
+                    held, through, size = [], [], 0
+        yield from in_batches(flush(held, through))
 
     return run
 
 
-def reducer(decide: Callable[[list[bytes]], Iterator[tuple[int, bytes]]]):
+def reducer(decide: Callable[[list[bytes]], Iterator[tuple[int, int, bytes]]]):
     """Runs `decide` over all payloads of a task's buckets; rows for documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,21 +236,21 @@ def reducer(decide: Callable[[list[bytes]], Iterator[tuple[int, bytes]]]):
                 yield through
             payloads += b.filter(pa.array(kinds == 0)).column(2).to_pylist()
         if payloads:
-            yield from in_batches((1, row, p) for row, p in decide(payloads))
+            yield from in_batches(decide(payloads))
 
     return run
 
 
-def anchors_decided(within_document: bool):
+def anchors_decided(within_document: bool, buckets: int):
     """Settled occurrences, and the open ones: first of their context, in a group of several."""
 
-    def decide(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def decide(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         cols, first = first_of_class(unpack(payloads), within_document)
         payloads.clear()
         if not len(first):
             return
         late = ~first
-        yield from by_row(cols["row"][late], cols["pos"][late], SETTLED)
+        yield from answer(cols["row"][late], cols["pos"][late], SETTLED, buckets)
         new_h, new_class = starts_of(cols["h"]), starts_of(cols["h"], cols["c"])
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new_class)[group] > 1
@@ -223,7 +258,7 @@ def anchors_decided(within_document: bool):
             cuts = np.flatnonzero(new_h)
             several &= (np.minimum.reduceat(cols["doc"], cuts) != np.maximum.reduceat(cols["doc"], cuts))[group]
         pick = first & several
-        yield from by_row(cols["row"][pick], cols["pos"][pick], OPEN)
+        yield from answer(cols["row"][pick], cols["pos"][pick], OPEN, buckets)
 
     return decide
 
@@ -236,8 +271,8 @@ def base_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def answers(rows: DataFrame) -> DataFrame:
-    """Payloads for documents, gathered by row key."""
-    return rows.groupBy(F.col("key").alias("row")).agg(F.collect_list("payload").alias("payloads"))
+    """row, payloads of every document with positions."""
+    return rows.repartition(shuffle_parts(rows.sparkSession), "key").mapInArrow(gathered, "row long, payloads array<binary>")
 
 
 def exchanged(rows: DataFrame) -> DataFrame:
@@ -246,12 +281,18 @@ def exchanged(rows: DataFrame) -> DataFrame:
 
 def bucket_count(docs: DataFrame) -> int:
     small_batches(docs.sparkSession)
-    return 4 * shuffle_parts(docs.sparkSession)
+    return 2 * shuffle_parts(docs.sparkSession)
 
 
-def positions(payloads: list[bytes], flag: int) -> np.ndarray:
+def positions(payloads: list[bytes] | None, flag: int) -> np.ndarray:
     parts = [np.frombuffer(p, "<u4", offset=1) for p in payloads or () if p[0] == flag]
-    return np.unique(np.concatenate(parts)).astype(np.int64) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def settled_before(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
+    """Row keys and positions that an earlier step settled."""
+    keys, places = part.column("row").to_pylist(), [positions(own, SETTLED) for own in part.column("payloads").to_pylist()]
+    return (np.repeat(np.array(keys, np.int64), [len(x) for x in places]), np.concatenate(places)) if places else None
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

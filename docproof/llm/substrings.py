@@ -60,7 +60,7 @@ def anchors(window: int):
         begin = w.first[w.owner[at]]
         low, high = np.maximum(begin, at - reach), np.minimum(begin + n[at], at + window)
         shape = mixed(((at - low) * (2 * window + PERIOD) + high - low).astype(np.uint64))
-        return (w.owner[at], w.place[at], mixed(sums.ranges(at, at + width)), mixed(sums.ranges(low, high) ^ shape)), []
+        return (w.owner[at], w.place[at], mixed(sums.ranges(at, at + width)), mixed(sums.ranges(low, high) ^ shape)), None
 
     return entries
 
@@ -70,8 +70,7 @@ def windows(window: int):
     reach = PERIOD - 1
 
     def entries(part: pa.RecordBatch) -> tuple:
-        payloads, keys = part.column("payloads").to_pylist(), part.column("row").to_pylist()
-        through = [(key, p) for key, own in zip(keys, payloads, strict=True) for p in own if p[0] == P.SETTLED]
+        payloads = part.column("payloads").to_pylist()
         w = Words(text_bytes(part.column("text")))
         k, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, own in enumerate(payloads):
@@ -85,14 +84,17 @@ def windows(window: int):
         k, at = np.concatenate(k), np.concatenate(at)
         begin = w.first[k] + at
         h, c = (mixed(P.Prefixes(w.hashes, base).ranges(begin, begin + window)) for base in (P.BASE, P.SECOND_BASE))
-        return (k, at, h, c), through
+        return (k, at, h, c), P.settled_before(part)
 
     return entries
 
 
-def windows_decided(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    cols, first = P.first_of_class(P.unpack(payloads), False)
-    yield from P.by_row(cols["row"][~first], cols["pos"][~first], P.COVERED)
+def windows_decided(buckets: int):
+    def decide(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        cols, first = P.first_of_class(P.unpack(payloads), False)
+        yield from P.answer(cols["row"][~first], cols["pos"][~first], P.COVERED, buckets)
+
+    return decide
 
 
 def removed_ranges(payloads: list[bytes] | None, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +128,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
     buckets = P.bucket_count(docs)
     base = P.base_rows(docs, keep)
     first = P.exchanged(base.mapInArrow(P.sender(anchors(window), buckets, False, P.SETTLED), P.OUT))
-    places = P.answers(first.mapInArrow(P.reducer(P.anchors_decided(False)), P.OUT))
+    places = P.answers(first.mapInArrow(P.reducer(P.anchors_decided(False, buckets)), P.OUT))
     second = P.exchanged(base.join(places, "row").mapInArrow(P.sender(windows(window), buckets, False, P.COVERED), P.OUT))
-    covered = P.answers(second.mapInArrow(P.reducer(windows_decided), P.OUT))
+    covered = P.answers(second.mapInArrow(P.reducer(windows_decided(buckets)), P.OUT))
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", "text string", *[f"__keep{k} {types[c]}" for k, c in enumerate(keep)], "n_words long", "spans array<struct<start:long,end:long>>", "kept_text string"])
     out = base.join(covered, "row", "left").mapInArrow(_finisher(window, len(keep)), schema)

@@ -27,7 +27,8 @@ from docproof.llm._common import mixed, ragged, table, text_bytes, text_slices
 from docproof.llm.suffix_sort import register
 
 LENGTH = 100
-SLICE = 2 << 20
+#: Text bytes at a time; each takes about 100 bytes of arrays.
+SLICE = 1 << 20
 
 
 def gram(length: int) -> int:
@@ -72,7 +73,7 @@ def anchors(length: int):
         own = owner[at]
         low, high = b.around(own, at, length)
         shape = mixed(((at - low) * (4 * length) + high - low).astype(np.uint64))
-        return (own, at - b.first[own], hashes[at], mixed(b.sums.ranges(low, high) ^ shape)), []
+        return (own, at - b.first[own], hashes[at], mixed(b.sums.ranges(low, high) ^ shape)), None
 
     return entries
 
@@ -81,26 +82,28 @@ def context_sender(length: int, buckets: int):
     """Sends the surroundings of open anchors to the buckets of their anchors, and passes on settled ones."""
     k = gram(length)
 
-    def flush(held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+    def flush(held: list[tuple], through: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        if through:
+            yield from P.answer(*(np.concatenate(x) for x in zip(*through, strict=True)), P.SETTLED, buckets)
+        if not held:
+            return
         h, doc, row, low, size = (np.concatenate([x[f] for x in held]) for f in range(5))
         data = np.concatenate([x[5] for x in held])
         begin = np.cumsum(size) - size
         bucket = (h >> np.uint64(32)).astype(np.int64) * buckets >> 32
         order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(P.starts_of(bucket[order]))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for a, b in P.runs(P.starts_of(bucket[order])):
             at = order[a:b]
             head = np.uint32(b - a).tobytes() + doc[at].astype("<i8").tobytes() + row[at].astype("<i8").tobytes() + low[at].astype("<u4").tobytes() + size[at].astype("<u4").tobytes()
             yield 0, int(bucket[at[0]]), head + data[ragged(begin[at], size[at])].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bytes_held = [], 0
+        held, through, bytes_held = [], [], 0
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
-                payloads, keys = part.column("payloads").to_pylist(), part.column("row").to_pylist()
-                through = [(1, key, p) for key, own in zip(keys, payloads, strict=True) for p in own if p[0] == P.SETTLED]
-                if through:
-                    yield P.out_batch(through)
+                payloads = part.column("payloads").to_pylist()
+                if settled := P.settled_before(part):
+                    through.append(settled)
                 places = [P.positions(own, P.OPEN) for own in payloads]
                 own = np.repeat(np.arange(len(places)), [len(x) for x in places])
                 if not len(own):
@@ -111,11 +114,10 @@ def context_sender(length: int, buckets: int):
                 doc, row = (part.column(x).to_numpy(zero_copy_only=False)[own] for x in ("doc", "row"))
                 held.append((mixed(b.sums.ranges(at, at + k)), doc, row, low - b.first[own], high - low, b.data[ragged(low, high - low)]))
                 bytes_held += len(held[-1][5])
-                if bytes_held >= P.FLUSH_BYTES:
-                    yield from P.in_batches(flush(held))
-                    held, bytes_held = [], 0
-        if held:
-            yield from P.in_batches(flush(held))
+                if bytes_held >= P.FLUSH_BYTES // 2:
+                    yield from P.in_batches(flush(held, through))
+                    held, through, bytes_held = [], [], 0
+        yield from P.in_batches(flush(held, through))
 
     return run
 
@@ -148,10 +150,10 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([0], pa.int32()), pa.array([key], pa.int64()), pa.array([head], pa.binary()), pa.array([b"".join(texts)], pa.binary()), pa.array([ends], pa.binary())], names=names)
 
 
-def decider(length: int):
+def decider(length: int, buckets: int):
     """Of each run of equal strings, all but the earliest are covered."""
 
-    def decide(head: bytes, classes: bytes) -> Iterator[tuple[int, bytes]]:
+    def decide(head: bytes, classes: bytes) -> Iterator[tuple[int, int, bytes]]:
         n = int(np.frombuffer(head, "<u4", 1)[0])
         doc, row = np.frombuffer(head, "<i8", n, 4), np.frombuffer(head, "<i8", n, 4 + 8 * n)
         low, size = (np.frombuffer(head, "<u4", n, 4 + o * n).astype(np.int64) for o in (16, 20))
@@ -173,7 +175,7 @@ def decider(length: int):
         cuts = np.flatnonzero(P.starts_of(number[by_class]))
         earliest = np.minimum.reduceat(key[by_class], cuts)
         late = by_class[key[by_class] > np.repeat(earliest, np.diff([*cuts, len(by_class)]))]
-        yield from P.by_row(row[piece[late]], pos[late], P.COVERED)
+        yield from P.answer(row[piece[late]], pos[late], P.COVERED, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +185,7 @@ def decider(length: int):
                 yield pa.record_batch(through.columns[:3], names=["kind", "key", "payload"])
             own = b.filter(pa.array(kinds == 0))
             for k in range(len(own)):
-                yield from P.in_batches((1, r, p) for r, p in decide(own.column(2)[k].as_py(), own.column(3)[k].as_py()))
+                yield from P.in_batches(decide(own.column(2)[k].as_py(), own.column(3)[k].as_py()))
 
     return run
 
@@ -211,11 +213,11 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = P.bucket_count(docs)
     name = register(docs.sparkSession, length)
     base = P.base_rows(docs)
-    first = P.exchanged(base.mapInArrow(P.sender(anchors(length), buckets, True, P.SETTLED), P.OUT))
-    places = P.answers(first.mapInArrow(P.reducer(P.anchors_decided(True)), P.OUT))
+    first = P.exchanged(base.mapInArrow(P.sender(anchors(length), buckets, True, P.SETTLED, SLICE), P.OUT))
+    places = P.answers(first.mapInArrow(P.reducer(P.anchors_decided(True, buckets)), P.OUT))
     second = P.exchanged(base.join(places, "row").mapInArrow(context_sender(length, buckets), P.OUT))
     blocks = second.mapInArrow(gather, BLOCKS).select("kind", "key", "payload", F.call_function(name, "text", "ends").alias("classes"))
-    covered = P.answers(blocks.mapInArrow(decider(length), P.OUT))
+    covered = P.answers(blocks.mapInArrow(decider(length, buckets), P.OUT))
     return base.join(covered, "row", "left").mapInArrow(finisher(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
