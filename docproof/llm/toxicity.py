@@ -122,9 +122,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(shifted, -60, 60)))
 
 
-def fit_numpy(texts: list[bytes], labels: np.ndarray, langs: list, epochs: int = 6, seed: int = 7) -> Model | None:
+def fit_numpy(texts: list[bytes], labels: np.ndarray, langs: list, seen: int = 16_000, seed: int = 7) -> Model | None:
+    """Passes over the texts until about `seen` have been looked at, 6 to 40 times each."""
     if len(set(labels.tolist())) < 2:
         return None
+    epochs = min(40, max(6, seen // len(texts)))
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary()
     numbered = [vocabulary.number([t]) for t in texts]
@@ -238,7 +240,11 @@ def calibrate(m: Model, numbered: list, feats: np.ndarray, labels: np.ndarray, h
     overall = best(held) if len(set(labels[held].tolist())) > 1 else 0.0
     for k in range(languages):
         rows = held & (lang == k)
-        m.thresholds[k] = best(rows) if (labels[rows] == 1).sum() >= 8 and (labels[rows] == 0).sum() >= 8 else overall
+        clean = z[(lang == k) & (labels == 0)]
+        if (labels[rows] == 1).sum() >= 8 and (labels[rows] == 0).sum() >= 8:
+            m.thresholds[k] = best(rows)
+        else:  # too few toxic rows to weigh: just above what clean texts of the language score
+            m.thresholds[k] = min(overall, float(np.quantile(clean, 0.995)) + 0.7) if len(clean) >= 30 else overall
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> DataFrame:
