@@ -29,7 +29,7 @@ from docproof.llm._common import SLICE_BYTES, mixed, order_key, row_key, shuffle
 #: 3 modulo 4, so that few low bits of the differences of powers vanish.
 BASE, SECOND_BASE = 0x9E3779B97F4A7C17, 0xD1342543DE82EF97
 #: Text bytes whose anchors a task packs at a time.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

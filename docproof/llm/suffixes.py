@@ -28,7 +28,7 @@ from docproof.llm.suffix_sort import register
 
 LENGTH = 100
 #: Text bytes at a time; each takes about 100 bytes of arrays.
-SLICE = 1 << 20
+SLICE = 512 << 10
 
 
 def gram(length: int) -> int:
@@ -94,7 +94,7 @@ def context_sender(length: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         for a, b in P.runs(P.starts_of(bucket[order])):
             at = order[a:b]
-            head = np.uint32(b - a).tobytes() + doc[at].astype("<i8").tobytes() + row[at].astype("<i8").tobytes() + low[at].astype("<u4").tobytes() + size[at].astype("<u4").tobytes()
+            head = np.uint32(b - a).tobytes() + h[at].astype("<u8").tobytes() + doc[at].astype("<i8").tobytes() + row[at].astype("<i8").tobytes() + low[at].astype("<u4").tobytes() + size[at].astype("<u4").tobytes()
             yield 0, int(bucket[at[0]]), head + data[ragged(begin[at], size[at])].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +122,13 @@ def context_sender(length: int, buckets: int):
     return run
 
 
+#: Bytes whose suffixes are sorted at a time, if one anchor has no more; the sorter takes about 50 bytes for each.
+BLOCK = 512 << 10
 BLOCKS = "kind int, key long, payload binary, text binary, ends binary"
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: all its surroundings end to end; rows for documents pass through."""
+    """The surroundings of whole anchors end to end, about BLOCK bytes a row; rows for documents pass through."""
     buckets: dict[int, list[bytes]] = {}
     names = ["kind", "key", "payload", "text", "ends"]
     for b in batches:
@@ -142,12 +144,21 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, texts = [], []
         for p in buckets.pop(key):
             n = int(np.frombuffer(p, "<u4", 1)[0])
-            heads.append((np.frombuffer(p, "<i8", n, 4), np.frombuffer(p, "<i8", n, 4 + 8 * n), np.frombuffer(p, "<u4", n, 4 + 16 * n), np.frombuffer(p, "<u4", n, 4 + 20 * n)))
-            texts.append(p[4 + 24 * n :])
-        doc, row, low, size = (np.concatenate(x) for x in zip(*heads, strict=True))
-        head = np.uint32(len(doc)).tobytes() + doc.tobytes() + row.tobytes() + low.tobytes() + size.tobytes()
-        ends = np.cumsum(size, dtype=np.int64).astype("<u4").tobytes()
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([key], pa.int64()), pa.array([head], pa.binary()), pa.array([b"".join(texts)], pa.binary()), pa.array([ends], pa.binary())], names=names)
+            heads.append((*(np.frombuffer(p, t, n, 4 + 8 * n * k) for k, t in enumerate(("<u8", "<i8", "<i8"))), *(np.frombuffer(p, "<u4", n, 4 + 24 * n + 4 * n * k) for k in (0, 1))))
+            texts.append(np.frombuffer(p, np.uint8, offset=4 + 32 * n))
+        h, doc, row, low, size = (np.concatenate(x) for x in zip(*heads, strict=True))
+        data = np.concatenate(texts)
+        begin = np.cumsum(size, dtype=np.int64) - size
+        order = np.argsort(h, kind="stable")
+        upto = np.cumsum(size[order], dtype=np.int64)
+        first = P.starts_of(h[order])
+        block = np.maximum.accumulate(np.where(first, (upto - size[order]) // BLOCK, 0))  # changes only where an anchor begins
+        for a, b in P.runs(P.starts_of(block)):
+            at = order[a:b]
+            head = np.uint32(b - a).tobytes() + doc[at].tobytes() + row[at].tobytes() + low[at].tobytes() + size[at].tobytes()
+            ends = np.cumsum(size[at], dtype=np.int64).astype("<u4").tobytes()
+            text = data[ragged(begin[at], size[at])].tobytes()
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([key], pa.int64()), pa.array([head], pa.binary()), pa.array([text], pa.binary()), pa.array([ends], pa.binary())], names=names)
 
 
 def decider(length: int, buckets: int):

@@ -221,10 +221,13 @@ def fit_numpy(texts: list[bytes], labels: np.ndarray, langs: list, seen: int = 1
 
 def calibrate(m: Model, numbered: list, feats: np.ndarray, labels: np.ndarray, held: np.ndarray, languages: int) -> None:
     """The threshold of each language with the fewest weighted errors on the rows held back."""
-    tabled = m.table(feats)
-    tabled[0] = 0
-    out = [m.logits(tabled, *x) for x in numbered]
-    z, lang = np.array([x[0][0] for x in out]), np.array([x[1][0] for x in out])
+    z, lang = np.zeros(len(numbered)), np.zeros(len(numbered), int)
+    for first in range(0, len(numbered), 50):  # a table of all words at once would be large
+        part = numbered[first : first + 50]
+        used, inverse = np.unique(np.concatenate([np.zeros(1, np.int64), *(ids for ids, _ in part)]), return_inverse=True)
+        tabled = m.table(feats[used])
+        tabled[0] = 0  # the gap
+        z[first : first + 50], lang[first : first + 50] = m.logits(tabled, inverse[1:], np.concatenate([n for _, n in part]))
 
     def best(rows: np.ndarray) -> float:
         v, y = z[rows], labels[rows]
@@ -266,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
     return fit_numpy([r.text.encode() for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows])
 
 
-def _scorer(model, position: int, most_words: int = 400_000):
+def _scorer(model, position: int, most_words: int = 100_000):
     """Appends the score; the distinct words' tables are kept between batches up to a bound."""
     kept: dict = {}
 
@@ -293,6 +296,7 @@ def _scorer(model, position: int, most_words: int = 400_000):
             for part in text_slices(batch, batch.schema.names[position], 1 << 20):
                 scores = scored(text_bytes(part.column(position)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "__score"])
+        kept.clear()  # the worker process goes on to other tasks
 
     return run
 
