@@ -82,10 +82,24 @@ def walk(rows: DataFrame, node: str, parent: str, hops: int = 10) -> DataFrame:
 
 
 def word_grams(text: Column, n: int) -> Column:
-    """All runs of n words (split at blanks), as strings."""
-    w = F.split(text, r"[\x20\x09-\x0D]+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """All runs of n words (split at blanks), as strings. The words are bound to a lambda variable: an expression named
+    inside a lambda would be evaluated again for each run."""
+
+    def grams(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(F.split(text, r"[\x20\x09-\x0D]+")), grams))
+
+
+def gram_hashes(text: Column, n: int) -> Column:
+    """The hashes of all runs of n words."""
+
+    def grams(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<bigint>"))
+
+    return F.flatten(F.transform(F.array(F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x))), grams))
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, anchor_words: int = 4) -> DataFrame:
@@ -95,11 +109,11 @@ def passages_in(docs: DataFrame, passages: DataFrame, anchor_words: int = 4) ->
     is the anchor. Documents meet passages by the hash of their word runs, and the text is compared for
     these pairs only. Passages too short for an anchor are compared with every document, the only nested
     loop, over a side whose size is checked."""
-    inner = F.slice(F.split(F.trim("p_text"), r"[\x20\x09-\x0D]+"), 2, anchor_words)
-    rows = passages.select("item_id", F.col("text").alias("p_text")).withColumn("anchor", F.when(F.size(F.split(F.trim("p_text"), r"[\x20\x09-\x0D]+")) >= anchor_words + 2, F.array_join(inner, " ")))
+    inner = F.slice(F.transform(F.split(F.trim("p_text"), r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x)), 2, anchor_words)
+    rows = passages.select("item_id", F.col("text").alias("p_text")).withColumn("anchor", F.when(F.size(F.split(F.trim("p_text"), r"[\x20\x09-\x0D]+")) >= anchor_words + 2, F.xxhash64(inner)))
     long, short = rows.where("anchor is not null"), rows.where("anchor is null")
-    keys = long.select(F.xxhash64("anchor").alias("h"), "item_id", "p_text")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(word_grams(F.col("text"), anchor_words), lambda g: F.xxhash64(g)))).alias("h"))
+    keys = long.select(F.col("anchor").alias("h"), "item_id", "p_text")
+    grams = docs.select("doc_id", F.explode(gram_hashes(F.col("text"), anchor_words)).alias("h"))
     candidates = grams.join(sized_broadcast(keys.select("h", "item_id")), "h").select("doc_id", "item_id").distinct()
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").join(sized_broadcast(keys.select("item_id", "p_text")), "item_id")
     if short.limit(1).count():
