@@ -247,7 +247,7 @@ def calibrate(m: Model, numbered: list, feats: np.ndarray, labels: np.ndarray, h
         if (labels[rows] == 1).sum() >= 8 and (labels[rows] == 0).sum() >= 8:
             m.thresholds[k] = best(rows)
         else:  # too few toxic rows to weigh: just above what clean texts of the language score
-            m.thresholds[k] = min(overall, float(np.quantile(clean, 0.995)) + 0.7) if len(clean) >= 30 else overall
+            m.thresholds[k] = min(overall, max(0.5, float(np.quantile(clean, 0.995)) + 0.7)) if len(clean) >= 30 else overall
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> DataFrame:
