@@ -223,3 +223,29 @@ def page_concat(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, CASE WHEN length(x) > 200 THEN left(x, 197) || '...' ELSE x END AS line FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\n\r\t|]+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g')) AS x FROM documents)""")
 def output_lines(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", text.flatten_for_output(F.col("text")).alias("line"))
+
+
+@register("citation_extract", r"""
+WITH o AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 999 + 1 AS VARCHAR) AS v, CAST(o_custkey % 9999 + 1 AS VARCHAR) AS p, CAST(1950 + o_custkey % 60 AS VARCHAR) AS y FROM orders)
+SELECT doc_id, 'cite_0000' AS citation_id, 'full_case' AS kind, v || ' F.2d ' || p AS normalized, y AS year, 'Smith v. Jones' AS case_name, NULL AS antecedent_id FROM o
+UNION ALL SELECT doc_id, 'cite_0001', 'id', NULL, NULL, NULL, 'cite_0000' FROM o
+UNION ALL SELECT doc_id, 'cite_0002', 'law', v || ' U.S.C. § ' || p, NULL, NULL, NULL FROM o
+UNION ALL SELECT doc_id, 'cite_0003', 'short_case', NULL, NULL, NULL, 'cite_0000' FROM o
+UNION ALL SELECT doc_id, 'cite_0004', 'supra', NULL, NULL, NULL, 'cite_0000' FROM o""")
+def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
+    from docproof.operators import extract
+
+    volume, page = "cast(o_orderkey % 999 + 1 as string)", "cast(o_custkey % 9999 + 1 as string)"
+    body = f"concat('We follow Smith v. Jones, ', {volume}, ' F.2d ', {page}, ' (', cast(1950 + o_custkey % 60 as string), '). Id. at 12. Under ', {volume}, ' U.S.C. § ', {page}, ' so. ', {volume}, ' F.2d at 7. Jones, supra, at 9.')"
+    docs = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(body).alias("text"))
+    return extract.antecedents(extract.citations(docs)).select("doc_id", "citation_id", "kind", "normalized", "year", "case_name", "antecedent_id")
+
+
+@register("quote_match")
+def quote_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages with one word changed, against the documents that hold the passage."""
+    from docproof.functions import quotes
+
+    passages = load(spark, sf, "benchmark").select("item_id", F.concat(F.left("text", F.lit(80)), F.lit(" altered "), F.substring("text", 90, 80)).alias("quote"))
+    texts = passage_in_document(spark, sf).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("item_id", F.col("doc_id").cast("string").alias("version"), "text")
+    return quotes.checked(passages, texts, "item_id").select("item_id", "version", "similarity", "difference", "found")
