@@ -19,7 +19,9 @@ repeated rows are scored alike; further columns are ignored by `score` and kept
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Iterator
+from concurrent.futures import ProcessPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +41,10 @@ EDGES = b".,;:!?\"'()[]{}<>*#$%&_-|"
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 3000
 
 
-def word_rows(words: list[bytes]) -> np.ndarray:
+def word_rows(words: list[bytes], most: int = 50_000) -> np.ndarray:
     """The embedding rows of each word: one for the word and one for each prefix."""
+    if len(words) > most:
+        return np.concatenate([word_rows(words[k : k + most]) for k in range(0, len(words), most)])
     low = [w.lower() for w in words]
     lengths = np.fromiter(map(len, low), np.int64, len(low))
     flat = np.frombuffer(b"".join(low), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -265,8 +269,12 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
-    rows = sorted(training_rows(docs, labels, **bounds).collect(), key=lambda r: (r.doc_id, r.text))
-    return fit_numpy([r.text.encode() for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows])
+    """Trains in a child process, so that its memory does not stay with the driver."""
+    rows = sorted(((r.doc_id, r.text.encode(), r.toxic, r.lang) for r in training_rows(docs, labels, **bounds).toLocalIterator()), key=lambda r: r[:2])
+    _, texts, toxic, langs = zip(*rows, strict=True) if rows else ((), (), (), ())
+    del rows
+    with ProcessPoolExecutor(1, multiprocessing.get_context("fork")) as pool:
+        return pool.submit(fit_numpy, list(texts), np.array(toxic), list(langs)).result()
 
 
 def _scorer(model, position: int, most_words: int = 100_000):
