@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.llm import mixing, packing, shingles, substrings, toxicity
-from docproof.llm._common import WORD, row_key, shared_dir, table
+from docproof.llm._common import WORD, order_key, row_key, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The stages go through word runs, Jaccard chains and token streams: no SQL states them.
@@ -37,11 +37,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component, and of rows equal in it one; empty documents are all kept."""
+    """Keeps of each component one row of the smallest doc_id (a null id stands last); empty documents are all kept."""
     docs = docs.select(*COLUMNS)
     found = shingles.similar(docs)
-    # rows of one id and set but different text (repeated ids, other case) are one group too: one of them stays
-    first = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+    # by label, not component_id: unrelated texts may share an id or have none
+    first = found.where("n_shingles > 0").groupBy("label").agg(F.min_by("row", F.struct(order_key(), "row")).alias("row")).select("row")
     empty = found.where("n_shingles = 0").select("row").distinct()
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     rows = docs.withColumn("row", row_key()).join(first.union(empty), "row", "left_semi")

@@ -50,3 +50,11 @@ def test_empty_table(spark, sf):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_jaccard_keeps_unrelated_texts_of_null_and_repeated_ids(spark, sf):
+    texts = [" ".join(f"{k}w{i}" for i in range(40)) for k in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2] + " more"), (7, texts[3]), (7, texts[4]), (8, texts[4]), (9, texts[0] + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, sf).collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[1]), (5, texts[2] + " more"), (7, texts[3]), (7, texts[4]), (9, texts[0] + " more")], key=str)
