@@ -1,16 +1,17 @@
 """Document fingerprints: I-Match over several randomised lexicon subsets. DataFrame operations only.
 
-The lexicon keeps terms whose inverse document frequency lies in a band. Document frequencies are
-counted over all documents, per hash bucket of terms, and the lexicon is one bit per bucket: its
+The lexicon keeps terms whose inverse document frequency lies in a band. Copies of a text are one
+document for the band's upper edge, so that no number of copies takes a text's own terms out of the
+lexicon; at the lower edge every row counts. Frequencies are counted per hash bucket of terms, and the lexicon is one bit per bucket: its
 size is fixed, so it can stand in every task whatever the corpus's vocabulary.
 
 Each fingerprint part belongs to one randomised subset of the lexicon. Subsets come in scales
 (every 2nd, 8th, ... lexicon term) so that, at any document length, some subsets hold about one of
 its terms; a part is the hash of the sorted distinct terms of the document in that subset, or a
-zero where it has none. The likeness of two fingerprints is 1 if they are equal, otherwise the
+zero where it has none. A text without lexicon terms has parts of all its own terms. The likeness of two fingerprints is 1 if they are equal, otherwise the
 best scale's share of equal parts with terms.
 
-Defined cases: null text is empty; empty texts have the fingerprint of no terms; a null doc_id stands
+Defined cases: null text is empty; texts without terms have the fingerprint of no terms; a null doc_id stands
 last in descending order; equal doc_ids are ordered by a hash of their text; a single document is
 its own next document; an empty table gives no rows; further columns are ignored.
 """
@@ -27,7 +28,7 @@ from docproof.llm._common import shuffle_parts, table
 TERM = r"[\p{L}\p{N}]+"
 #: Hash buckets of terms; the lexicon has one bit for each.
 LEXICON_BITS = 20
-#: The band: terms in at most this share of the documents, and in at least this many of them.
+#: The band: terms in at most this share of the distinct texts, and in at least this many rows.
 MOST_SHARE, LEAST_COUNT = 0.02, 2
 #: Every so many-th lexicon term is in a subset of the scale; subsets of each scale.
 SCALES, SEEDS = (2, 8, 32, 128, 512, 2048), 12
@@ -45,21 +46,26 @@ def bucket(term: Column) -> Column:
 def lexicon(docs: DataFrame, text: str = "text", most_share: float = MOST_SHARE, least_count: int = LEAST_COUNT) -> DataFrame:
     """One row, one column: the bits of the buckets in the band, 64 to a long."""
     words = 1 << (LEXICON_BITS - 6)
-    counts = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col(text)), bucket))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
-    size = docs.agg(F.count("*").alias("n"))
-    band = counts.where((F.col("df") >= least_count) & (F.col("df") <= F.greatest(F.lit(float(least_count)), size.scalar() * F.lit(most_share))))
+    copies = docs.select(F.xxhash64(text).alias("hash"), F.array_distinct(F.transform(term_hashes(F.col(text)), bucket)).alias("buckets"))
+    texts = copies.groupBy("hash").agg(F.first("buckets").alias("buckets"), F.count("*").alias("copies"))
+    counts = texts.select(F.explode("buckets").alias("bucket"), "copies").groupBy("bucket").agg(F.sum("copies").alias("rows"), F.count("*").alias("df"))
+    size = docs.agg(F.count_distinct(F.xxhash64(text)).alias("n"))
+    band = counts.where((F.col("rows") >= least_count) & (F.col("df") <= F.greatest(F.lit(float(least_count)), size.scalar() * F.lit(most_share))))
     bits = band.groupBy((F.col("bucket") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bucket % 64)")).alias("bits"))
     every = docs.sparkSession.range(0, words, 1, 1).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
     dense = bits.union(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda r: r["bits"]).alias("bits"))
 
 
-def in_lexicon(terms: Column, bits: Column) -> Column:
+def with_lexicon_terms(df: DataFrame, name: str, terms: Column, bits: Column) -> DataFrame:
+    """Adds `name`, the sorted terms that are in the lexicon, or all terms where none is in it."""
+
     def has(t: Column) -> Column:
         b = bucket(t)
         return F.get(bits, F.shiftright(b, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)) != 0
 
-    return F.array_sort(F.filter(terms, has))
+    df = df.withColumn(name, terms).withColumn("__in", F.filter(name, has))
+    return df.withColumn(name, F.array_sort(F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col(name)))).drop("__in")
 
 
 def in_subset(terms: str, seed: int, scale: int) -> Column:
@@ -115,9 +121,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         .withColumn("next", F.lead("text").over(order))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)))
         .drop("next")
-        .withColumn("__terms", in_lexicon(term_hashes(F.col("text")), bits))
-        .withColumn("__edited_terms", F.when(F.col("ghost"), F.array().cast("array<bigint>")).otherwise(in_lexicon(term_hashes(F.col("edited")), bits)))
     )
+    rows = with_lexicon_terms(rows, "__terms", term_hashes(F.col("text")), bits)
+    rows = with_lexicon_terms(rows, "__edited_terms", F.when(F.col("ghost"), F.array().cast("array<bigint>")).otherwise(term_hashes(F.col("edited"))), bits)
     rows = fingerprint_parts(fingerprint_parts(rows, "parts", "__terms"), "edited_parts", "__edited_terms").drop("__terms", "__edited_terms")
     return rows.withColumn("next_parts", F.lead("parts").over(order)).where("not ghost").drop("ghost", "range")
 

@@ -328,6 +328,20 @@ def test_op8_odd_rows(odd, none):
     assert only.edited == only.text[: len(only.text) - len(only.text) // 2] + only.text[: len(only.text) // 2]
 
 
+def test_op8_copies_and_common_words(spark):
+    """Texts of many copies, and texts of words that all others hold, are told apart and found again when edited."""
+    hot = [" ".join(f"{k}hot{i}" for i in range(60)) for k in "ab"]
+    common = "and of the to in is it as".split()
+    rare = [" ".join(common + [f"rare{(k + i) % 150}" for i in range(30)]) for k in range(150)]
+    texts = [*rare[:75], *[hot[0]] * 200, *rare[75:], *[hot[1]] * 200, "and of the", "to in is it as", rare[0]]
+    rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in rows.withColumn("near", fingerprints.likeness(rows.parts, rows.edited_parts)).collect()}
+    parts = {r.text: tuple(r.parts) for r in got.values()}
+    assert len({parts[t] for t in (*hot, "and of the", "to in is it as")}) == 4 and all(any(x) for x in parts.values())
+    edges = [got[k] for k in (75, 350)]  # the next documents of these have other texts
+    assert all(r.text in hot and r.edited != r.text and r.near > 0 for r in edges), [(r.text[:9], r.near) for r in edges]
+
+
 def test_op9_equals_its_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
