@@ -8,7 +8,10 @@ Schedule: slot i of N has the van der Corput point of i (its bits reversed), whi
 targets map to a source; slots are ranked within their source. Each source's documents lie in a
 hash-shuffled order as one stream of words, repeated up to `cap` times and cut into blocks of
 equally many words; the slot of rank r takes block r. The block size is the total over 2**20,
-at least one word, so there are at most 2**20 slots at any input size.
+at least one word, so there are at most 2**20 slots at any input size. Whole blocks miss a target by
+up to some blocks, and sources smaller than a block may get none; `exact` adds what is missing as
+last, partial blocks and cuts what is over, so that each source gives its target rounded to words.
+op9_mixing takes whole blocks only, as its SQL states; the pipeline's mix is exact.
 
 A document's place in its stream is found in two levels (hash bucket, then place in the bucket), so
 no task holds a whole source.
@@ -19,7 +22,7 @@ repeated rows count each; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,6 +59,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return rows.select("source", "source_size", "total", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def block_words(slot_bits: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("total") / (1 << slot_bits))).cast("long")
+
+
 def schedule(shares: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
     """source, rank, block_words: which block of which source each slot takes."""
     points = 1 << slot_bits
@@ -67,7 +74,7 @@ def schedule(shares: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
         .withColumn("high", F.try_divide("up_to", "all_of_it"))
         .withColumn("low", F.coalesce(F.lag("high").over(by_source), F.lit(0.0)))
         .where("high > low")
-        .withColumn("block_words", F.greatest(F.lit(1), F.ceil(F.col("total") / points)).cast("long"))
+        .withColumn("block_words", block_words(slot_bits))
         .withColumn("slots", F.ceil(F.col("total") / F.col("block_words")))
         .withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") * BINS), F.least(F.lit(BINS - 1).cast("long"), F.floor(F.col("high") * BINS)))))
     )
@@ -80,7 +87,7 @@ def schedule(shares: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
     return hit.select("source", (F.row_number().over(W.partitionBy("source").orderBy("id")) - 1).cast("long").alias("rank"), "block_words")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slot_bits: int = SLOT_BITS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slot_bits: int = SLOT_BITS, exact: bool = True) -> DataFrame:
     """What the mix takes of each document: doc_id, row_key, size, source_size, target, segments.
 
     segments lists the taken word runs as (copy, start, length): copy counts the stream's
@@ -100,6 +107,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
     placed = sized.withColumn("bucket", bucket)
     taken_up_to = slots.groupBy("source").agg((F.count("*") * F.max("block_words")).alias("reach"), F.max("block_words").alias("block_words"))
     facts = shares.join(taken_up_to, "source", "left")
+    if exact:
+        facts = facts.withColumn("block_words", block_words(slot_bits)).withColumn("whole", F.coalesce("reach", F.lit(0))).withColumn("reach", F.round("target").cast("long"))
+        missed = facts.where("reach > whole").select("source", F.explode(F.expr("sequence(whole div block_words, (reach - 1) div block_words)")).alias("rank"), "block_words")
+        slots, facts = slots.unionByName(missed), facts.drop("whole")
     before = (
         placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         .withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
@@ -118,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
         .withColumn("begin", F.col("first") + F.col("copy") * F.col("source_size"))
         .where("begin < reach")
-        .withColumn("end", F.col("begin") + F.col("size"))
+        .withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("reach")))
         .withColumn("rank", F.explode(F.sequence(F.expr("begin div block_words"), F.expr("(end - 1) div block_words"))))
         .select("uid", "source", "copy", "begin", "end", "rank")
     )
@@ -135,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
+    mixed = mix(table(spark, sf_dir, "documents"), exact=False)
     taken = F.aggregate("segments", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["length"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 

@@ -361,6 +361,16 @@ def test_op9_odd_rows(odd, none):
     assert mixing.mix(none).collect() == []
 
 
+def test_op9_small_sources_meet_their_targets(spark):
+    rows = [(k, " ".join(f"w{i}" for i in range(200)), "big") for k in range(50)] + [(100, "x y z", "tiny"), (101, "u v", "small"), (102, "t " * 7, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slot_bits=4).collect()
+    taken = Counter()
+    for r in got:
+        assert all(0 <= s.start and s.length > 0 and s.start + s.length <= r.size for s in r.segments)
+        taken[r.source_size, r.target] += sum(s.length for s in r.segments)
+    assert len(taken) == 4 and all(n == round(target) for (_, target), n in taken.items()), taken
+
+
 def check_pieces(pieces, texts, library):
     by_doc = defaultdict(list)
     for p in pieces:
