@@ -1,7 +1,9 @@
 """Licence scans by sentence rules. DataFrame operations only, no shuffle.
 
-A text is cut into sentences, each normalised to lower-case words of letters and digits; known
-licence sentences become identifiers, and the sequence of identifiers is matched against ordered
+A text is cut into sentences at punctuation and blank lines, each normalised to lower-case words of
+letters and digits. A single line break, with the comment marks of the next line, is a blank inside a
+known sentence and an end elsewhere; OP6_SQL knows it as an end only, and so states the sentences that
+stand on one line. Known licence sentences become identifiers, and the sequence of identifiers is matched against ordered
 rules. A rule that matches names a licence and consumes its identifiers, so that a longer rule stands
 before the shorter ones it contains.
 
@@ -63,18 +65,37 @@ RULES = [
 
 #: Each known sentence holds one of these; texts without them are not cut into sentences.
 ANCHORS = ("licens", "copyright", "permission", "redistribut", "free software", "warranty")
+#: Of OP6_SQL.
 SENTENCE_END = r"[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
 
 
+#: Marks of sentence ends and of single line breaks in a normalised text.
+END, BREAK = "\x01", "\x02"
+KNOWN = f"(?<=[{END}{BREAK}])(?:" + "|".join(s.replace(" ", f"[ {BREAK}]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + f")(?=[{END}{BREAK}])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     low = F.lower(text)
     anchored = F.lit(False)
     for a in ANCHORS:
-        anchored = anchored | low.contains(a)
+        here = F.lit(True)
+        for word in a.split():
+            here = here & low.contains(word)
+        anchored = anchored | here
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    words = F.transform(F.split(low, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.when(anchored, F.filter(F.transform(words, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    s = F.concat(F.lit("\n\n"), F.translate(low, END + BREAK, "##"), F.lit("\n\n"))
+    for pattern, mark in (
+        (r"\x0D\x0A?", "\n"),
+        (r"\n[^a-z0-9\n]+", "\n"),  # indents, comment marks, bullets
+        (r"\n\n+|[.!?:;]+[\x20\x09-\x0D]+", END),
+        (r"\n", BREAK),
+        (f"[^a-z0-9{END}{BREAK}]+", " "),
+        (f" ?([{END}{BREAK}]) ?", "$1"),
+    ):
+        s = F.regexp_replace(s, pattern, mark)
+    found = F.transform(F.regexp_extract_all(s, F.lit(KNOWN), F.lit(0)), lambda x: F.element_at(known, F.translate(x, BREAK, " ")))
+    return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -283,6 +283,34 @@ def test_op6_rules(spark, odd, none):
     assert licenses.scan(none).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// ", ";; "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_op6_wrapped_texts(spark, prefix, end):
+    import textwrap
+
+    wants = [(MIT, "MIT", ["MitGrant", "MitNotice", "MitAsIs"]), (BSD, "BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]), (GPL.format(3), "GPL-3.0-or-later", ["GplFree", "Gpl3Later"]), (GPL.format(2), "GPL-2.0-or-later", ["GplFree", "Gpl2Later"])]
+    texts = []
+    for width in (20, 72, 80):
+        for text, *_ in wants:
+            lines = [x for line in text.split("\n") for x in textwrap.wrap(line, width) or [""]]
+            texts.append(end.join((prefix + x).rstrip() for x in ["The name of it", "Copyright (c) 2020 A. Name", *lines, "", "More words."]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (list(r.licenses), list(r.sentence_ids)) for r in licenses.scan(df).collect()}
+    assert got == {k: ([wants[k % 4][1]], wants[k % 4][2]) for k in range(len(texts))}
+
+
 def test_op7_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op7_toxicity"](spark, sf).toPandas().set_index("doc_id")
