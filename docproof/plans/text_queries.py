@@ -84,6 +84,25 @@ def ellipsis_segments(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", text.segments_in_order("text", "parts").isNotNull().alias("in_order"))
 
 
+@register("document_quotations")
+def document_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The quotations that stand in the documents, over whole texts; quote_pairs is the scan over made-up sentences that its SQL states."""
+    return text.quotations(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@register("passage_normal_forms")
+def passage_normal_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "benchmark").select("item_id", text.normalize_quote(F.col("text")).alias("normal"))
+
+
+@register("passage_segments")
+def passage_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the halves of a whole passage stand in order in it."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = load(spark, sf, "benchmark").withColumn("parts", F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
+    return rows.select("item_id", text.segments_in_order("text", "parts").isNotNull().alias("in_order"))
+
+
 @register("sentence_counts", r"""
 SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')) AS INTEGER) AS n_sentences FROM documents""")
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,9 +262,9 @@ def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("quote_match")
 def quote_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages with one word changed, against the documents that hold the passage."""
+    """Whole benchmark passages with one word changed, against the documents that hold the passage."""
     from docproof.functions import quotes
 
-    passages = load(spark, sf, "benchmark").select("item_id", F.concat(F.left("text", F.lit(80)), F.lit(" altered "), F.substring("text", 90, 80)).alias("quote"))
+    passages = load(spark, sf, "benchmark").select("item_id", F.concat(F.left("text", F.lit(80)), F.lit(" altered "), F.expr("substring(text, 90)")).alias("quote"))
     texts = passage_in_document(spark, sf).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("item_id", F.col("doc_id").cast("string").alias("version"), "text")
     return quotes.checked(passages, texts, "item_id").select("item_id", "version", "similarity", "difference", "found")

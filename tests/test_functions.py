@@ -81,3 +81,29 @@ def test_markup(spark):
 
     html = "<p>One &amp; two</p><script>var x;</script><!-- no --><div>three<br/>four</div><a href='u'>x</a>"
     assert one(spark, [(html,)], "h string", markup.flatten(F.col("h")), markup.links(F.col("h"))) == [("One & two\nthree\nfour\nx", ["u"])]
+
+
+def whole_text_quotations(t):
+    out, opened = [], -1
+    for at, c in enumerate(t):
+        if c == "“" or (c == '"' and opened < 0):
+            opened = at
+        elif c in '"”' and opened >= 0:
+            if 8 <= at - opened - 1 <= 600:
+                out.append((opened + 1, at, t[opened + 1 : at]))
+            opened = -1
+    return out
+
+
+def test_quotation_queries_see_whole_texts(spark, tmp_path):
+    from docproof import registry
+
+    texts = ['short "but quoted" text', "x " * 200 + 'late "quotation number one", “and number two” and "tiny" and "' + "y" * 601 + '"', "“a “nested opening” closes” \"unclosed to the end", "", None]
+    passage = " ".join(f"word{i}" for i in range(99)) + " End, Of It"
+    spark.createDataFrame([*enumerate(texts), (9, f"before {passage} after")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("document_quotations", "passage_normal_forms", "passage_segments", "quote_match")}
+    assert sorted((r.doc_id, r.start, r.end, r.body) for r in run["document_quotations"]) == sorted((i, *q) for i, t in enumerate(texts) for q in whole_text_quotations(t or ""))
+    assert run["passage_normal_forms"][0].normal == passage.lower()
+    assert run["passage_segments"][0].in_order
+    assert run["quote_match"][0].similarity > 0.95, run["quote_match"]
