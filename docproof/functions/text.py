@@ -6,9 +6,10 @@ half-open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,31 +34,102 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(text, "[ \t]+\n", "\n")
 
 
+#: White space as the reference formats mean it, Unicode's included, spelled out so that it does not depend on a regex dialect.
+WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Pieces of a text are summed in blocks of so many: offsets cost no shuffle and stay nearly linear in long texts.
+SPAN_BLOCK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: an expression named twice inside a lambda would be evaluated twice."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(rows: Column) -> Column:
+    """An array cut into arrays of SPAN_BLOCK elements."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / SPAN_BLOCK).cast("int")), lambda b: F.slice(rows, b * SPAN_BLOCK + 1, SPAN_BLOCK))
+    return F.when(F.size(rows) > 0, cut).otherwise(F.slice(F.array(rows), 1, 0))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Array of start, end, flat, match for every match, in order, from the lengths of matches and of the pieces between them. flat is the
+    start in the text with every match replaced by one character. Inside the row: right for repeated and null keys, no shuffle."""
+    zero = F.lit(0).cast("long")
+    pieces = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("m"), m.alias("match")),
+    )
+
+    def after(at: Column, p: Column) -> list[Column]:
+        return [(at["t"] + p["g"] + p["m"]).alias("t"), (at["f"] + p["g"] + F.when(p["m"] > 0, 1).otherwise(0)).alias("f")]
+
+    def sums(block: Column) -> Column:
+        return F.aggregate(block, F.struct(zero.alias("t"), zero.alias("f")), lambda a, p: F.struct(*after(a, p)))
+
+    def begins(of: Column) -> Column:
+        none = F.array().cast("array<struct<t:bigint,f:bigint>>")
+        step = lambda a, b: F.struct((a["t"] + b["t"]).alias("t"), (a["f"] + b["f"]).alias("f"), F.concat(a["out"], F.array(F.struct(a["t"].alias("t"), a["f"].alias("f")))).alias("out"))
+        return F.aggregate(F.transform(of, sums), F.struct(zero.alias("t"), zero.alias("f"), none.alias("out")), step)["out"]
+
+    def inside(block: Column, at: Column) -> Column:
+        none = F.array().cast("array<struct<start:bigint,end:bigint,flat:bigint,match:string>>")
+        one = lambda a, p: F.struct((a["t"] + p["g"]).alias("start"), (a["t"] + p["g"] + p["m"]).alias("end"), (a["f"] + p["g"]).alias("flat"), p["match"].alias("match"))
+        return F.aggregate(block, F.struct(at["t"].alias("t"), at["f"].alias("f"), none.alias("out")), lambda a, p: F.struct(*after(a, p), F.concat(a["out"], F.array(one(a, p))).alias("out")))["out"]
+
+    found = bound(blocks_of(pieces), lambda of: F.flatten(F.zip_with(of, begins(of), inside)))
+    return F.when(text.isNotNull(), F.filter(found, lambda x: x["match"].isNotNull()))
+
+
+def blocks_of(rows: Column) -> Column:
+    return bound(rows, blocks)
+
+
+def collapse_map(text: Column) -> Column:
+    """clean: the text with every run of white space as one blank; anchors (clean, original): from each anchor on, offsets in the
+    two texts differ by a constant, up to the next."""
+    runs = match_spans(text, WHITE + "{2,}")
+    zero = F.lit(0).cast("long")
+    anchors = F.concat(F.array(F.struct(zero.alias("clean"), zero.alias("original"))), F.transform(runs, lambda r: F.struct((r["flat"] + 1).alias("clean"), r["end"].alias("original"))))
+    return F.struct(F.regexp_replace(text, WHITE + "+", " ").alias("clean"), anchors.alias("anchors"))
+
+
+def to_original(anchors: Column, offset: Column) -> Column:
+    """The offset in the original text of an offset in the clean one."""
+    return bound(F.element_at(F.filter(anchors, lambda a: a["clean"] <= F.greatest(offset, F.lit(0))), -1), lambda a: a["original"] + F.greatest(offset, F.lit(0)) - a["clean"])
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
 
 
 def spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """key, n, start, end, match for every match: pieces between matches give the offsets, in linear time."""
-    pieces = F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("match"))
-    rows = df.select(key, F.posexplode(pieces).alias("n", "p")).select(key, "n", F.length("p.gap").alias("gap"), F.col("p.match").alias("match"))
-    before = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(before))
-    return rows.where("match is not null").select(key, "n", (F.col("end") - F.length("match")).alias("start"), "end", "match")
+    """key, n, start, end, match for every match."""
+    return df.select(key, F.posexplode(match_spans(F.col(text), pattern)).alias("n", "p")).select(key, "n", "p.start", "p.end", "p.match")
+
+
+def quote_ranges(text: Column) -> Column:
+    """Array of s, e: the insides of quotations. Straight marks toggle, curly ones open and close; a curly mark opens anew."""
+    found_type = "array<struct<s:bigint,e:bigint>>"
+    closed = F.lit(-1).cast("long")
+
+    def step(a: Column, m: Column) -> Column:
+        opens = F.struct(m["start"].alias("open"), a["found"].alias("found"))
+        closes = F.struct(closed.alias("open"), F.concat(a["found"], F.array(F.struct((a["open"] + 1).alias("s"), m["start"].alias("e")))).alias("found"))
+        return F.when(m["match"] == "“", opens).when(a["open"] >= 0, closes).when(m["match"] == '"', opens).otherwise(a)
+
+    def block(a: Column, of: Column) -> Column:
+        own = F.aggregate(of, F.struct(a["open"].alias("open"), F.array().cast(found_type).alias("found")), step)
+        return bound(own, lambda o: F.struct(o["open"].alias("open"), F.concat(a["found"], F.array(o["found"])).alias("found")))
+
+    start = F.struct(closed.alias("open"), F.array().cast(f"array<{found_type}>").alias("found"))
+    return F.flatten(F.aggregate(blocks_of(match_spans(text, QUOTE_MARKS)), start, block)["found"])
 
 
 def quotations(df: DataFrame, key: str, text: str, least: int = 8, most: int = 600) -> DataFrame:
-    """key, start, end, body of quotations: straight marks toggle, curly ones open and close; bodies within the length bounds."""
-    marks = spans(df, key, text, QUOTE_MARKS).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "match"))).alias("marks"))
-    state = "named_struct('open', cast(-1 as bigint), 'found', cast(array() as array<struct<s:bigint,e:bigint>>))"
-    step = """(a, m) -> CASE
-        WHEN m.match = '“' THEN named_struct('open', m.start, 'found', a.found)
-        WHEN a.open >= 0 THEN named_struct('open', cast(-1 as bigint), 'found', concat(a.found, array(named_struct('s', a.open + 1, 'e', m.start))))
-        WHEN m.match = '"' THEN named_struct('open', m.start, 'found', a.found)
-        ELSE a END"""
-    found = marks.select(key, F.expr(f"explode(aggregate(marks, {state}, {step}).found)").alias("q"))
-    found = found.where(f"q.e - q.s between {least} and {most}")
-    return found.join(df.select(key, text), key).select(key, F.col("q.s").alias("start"), F.col("q.e").alias("end"), F.substring(text, (F.col("q.s") + 1).cast("int"), (F.col("q.e") - F.col("q.s")).cast("int")).alias("body"))
+    """key, start, end, body of quotations whose bodies are within the length bounds; found inside each row."""
+    inside = F.filter(quote_ranges(F.col(text)), lambda q: (q["e"] - q["s"]).between(least, most))
+    bodies = F.transform(inside, lambda q: F.struct(q["s"].alias("start"), q["e"].alias("end"), F.substring(F.col(text), (q["s"] + 1).cast("int"), (q["e"] - q["s"]).cast("int")).alias("body")))
+    return df.select(key, F.inline(bodies))
 
 
 def normalize_quote(text: Column, drop_inline: bool = False) -> Column:
@@ -121,9 +193,10 @@ def pincite_pages(pincite: Column, most: int = 60) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, pages)))
 
 
-def flatten_for_output(text: Column, limit: int = 200) -> Column:
-    """One printable line: control characters out, pipes and breaks blank, cut with three dots."""
-    line = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\n\r\t|]+", " "), r"[\x00-\x1f\x7f]", ""))
+def flatten_for_output(text: Column, limit: int = 300) -> Column:
+    """One printable line: control characters out, pipes and breaks blank, white space collapsed, cut with three dots."""
+    line = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"[|\r\n]+", " ")
+    line = F.trim(F.regexp_replace(line, WHITE + "+", " "))
     return F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit - 3)), F.lit("..."))).otherwise(line)
 
 

@@ -70,14 +70,26 @@ def first_found(rows: DataFrame, lookups: Sequence[tuple[DataFrame, Column, str]
 
 
 def walk(rows: DataFrame, node: str, parent: str, hops: int = 10) -> DataFrame:
-    """node, root, hops: follows parents until there is none, at most `hops` times, by doubling the reach
-    of every pointer instead of one join for each hop."""
-    out = rows.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("to"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("n"))
-    reach = 1
-    while reach < hops:
-        nxt = out.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        out = out.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        reach *= 2
+    """node, root, hops: follows parents until there is none, exactly `hops` times at most. Jumps of 1, 2, 4, ... steps are built by
+    doubling and composed for the bits of `hops`, so the number of joins grows with its logarithm. A node given twice has
+    its smallest parent; in a cycle the bound ends the walk."""
+    jump = rows.groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("up"))
+    jump = jump.select("node", F.coalesce("up", "node").alias("to"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("n"))
+
+    def followed(first: DataFrame, then: DataFrame) -> DataFrame:
+        then = then.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+        return first.join(then, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+
+    out = None
+    while True:
+        if hops & 1:
+            out = jump if out is None else followed(out, jump)
+        hops >>= 1
+        if not hops:
+            break
+        jump = followed(jump, jump)
+    if out is None:
+        out = jump.select("node", F.col("node").alias("to"), F.lit(0).alias("n"))
     return out.select("node", F.col("to").alias("root"), F.col("n").alias("hops"))
 
 
@@ -128,8 +140,21 @@ def gram_candidates(left: DataFrame, right: DataFrame, n: int, most_anchors: int
     return a.join(b, "g").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
 
 
-def first_overlap(gold: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Each gold span (key, g_id, l_start, l_end) with the first found span (key, r_id, r_start, r_end) that overlaps it, or null."""
-    pairs = gold.join(found, key, "left").where(F.col("r_id").isNull() | overlaps("l_start", "l_end", "r_start", "r_end"))
+def first_overlap(gold: DataFrame, found: DataFrame, key: str, bucket: int = 1000) -> DataFrame:
+    """Each gold span (key, g_id, l_start, l_end) with the first found span (key, r_id, r_start, r_end) that overlaps it, or null. Spans
+    meet by position bucket, so a document with many of them is spread."""
+    def placed(rows: DataFrame, low: str, high: str) -> DataFrame:
+        return rows.withColumn("b", F.explode(F.sequence(F.expr(f"{low} div {bucket}"), F.expr(f"greatest({low}, {high} - 1) div {bucket}"))))
+
+    pairs = placed(gold, "l_start", "l_end").join(placed(found, "r_start", "r_end"), [key, "b"]).where(overlaps("l_start", "l_end", "r_start", "r_end"))
     hit = pairs.groupBy(key, "g_id").agg(F.min("r_id").alias("r_id"))
     return gold.select(key, "g_id").join(hit, [key, "g_id"], "left")
+
+
+def first_paragraph(paragraphs: DataFrame, findings: DataFrame, doc: str) -> DataFrame:
+    """Each finding (doc, f_id, text) with the first paragraph (doc, paragraph, text) of its document that holds it, white space aside."""
+    def flat(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn(name, F.trim(F.regexp_replace("text", r"\s+", " "))).drop("text")
+
+    pairs = flat(findings, "__f").join(flat(paragraphs, "__p"), doc).where(F.col("__p").contains(F.col("__f")))
+    return findings.select(doc, "f_id").join(pairs.groupBy(doc, "f_id").agg(F.min("paragraph").alias("paragraph")), [doc, "f_id"], "left")

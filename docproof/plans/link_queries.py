@@ -85,21 +85,23 @@ def dictionary_semi(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").join(load(spark, sf, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
 
 
-@register("dictionary_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("dictionary_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 250000)")
 def dictionary_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "customer").join(load(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = load(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 250000")
+    return load(spark, sf, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("chain_walk", r"""
-WITH RECURSIVE e AS (SELECT a.event_id AS node, b.event_id AS parent FROM events a LEFT JOIN events b ON b.event_id = a.event_id - 1 AND a.event_id % 10 <> 0),
-w AS (SELECT node, node AS here, 0 AS hops FROM e UNION ALL SELECT w.node, e.parent, hops + 1 FROM w JOIN e ON e.node = w.here WHERE e.parent IS NOT NULL)
+WITH RECURSIVE e AS (SELECT a.event_id AS node, b.event_id AS parent FROM events a LEFT JOIN events b ON b.event_id = a.event_id - 1 AND a.event_id % 40 <> 0),
+w AS (SELECT node, node AS here, 0 AS hops FROM e UNION ALL SELECT w.node, e.parent, hops + 1 FROM w JOIN e ON e.node = w.here WHERE e.parent IS NOT NULL AND hops < 10)
 SELECT node, max_by(here, hops) AS root, CAST(max(hops) AS INTEGER) AS hops FROM w GROUP BY node""")
 def chain_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of up to 39 hops, of which 10 are followed."""
     e = load(spark, sf, "events").select("event_id")
     parents = e.select(F.col("event_id").alias("p"))
-    rows = e.withColumn("p", F.when(F.col("event_id") % 10 != 0, F.col("event_id") - 1))
+    rows = e.withColumn("p", F.when(F.col("event_id") % 40 != 0, F.col("event_id") - 1))
     rows = rows.join(parents.withColumn("there", F.lit(True)), "p", "left").select("event_id", F.when(F.col("there"), F.col("p")).alias("parent"))
-    return joins.walk(rows, "event_id", "parent", 16)
+    return joins.walk(rows, "event_id", "parent")
 
 
 @register("fallback_join", r"""
@@ -192,8 +194,12 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
-@register("request_replies", r"""SELECT count(*) AS replies FROM events WHERE event_type <> 'click'""")
+@register("request_replies", r"""
+SELECT event_id, CASE event_type WHEN 'error' THEN '{"jsonrpc":"2.0","error":{"code":-32700,"message":"parse error"}}' WHEN 'signup' THEN '{"jsonrpc":"2.0","id":"' || event_id || '","error":{"code":-32601,"message":"unknown method"}}'
+  WHEN 'view' THEN '{"jsonrpc":"2.0","id":"' || event_id || '","result":{"method":"tools/call","n_chars":' || length(props) || '}}' ELSE '{"jsonrpc":"2.0","id":"' || event_id || '","result":{"method":"tools/list"}}' END AS value FROM events WHERE event_type <> 'click'""")
 def request_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """One reply for each request; a click stands for a notification, which has no id."""
-    line = F.expr("""CASE event_type WHEN 'click' THEN '{"jsonrpc": "2.0", "method": "ping"}' WHEN 'error' THEN 'not json' ELSE concat('{"jsonrpc": "2.0", "id": "', event_id, '", "method": "tools/list"}') END""")
-    return streams.responses(load(spark, sf, "events").select(line.alias("value"))).agg(F.count("*").alias("replies"))
+    """Every reply as sent; a click stands for a notification, which has none."""
+    line = F.expr("""CASE event_type WHEN 'click' THEN '{"jsonrpc": "2.0", "method": "ping"}' WHEN 'error' THEN concat('not json ', event_id) WHEN 'signup' THEN concat('{"jsonrpc": "2.0", "id": "', event_id, '", "method": "guess"}')
+      WHEN 'view' THEN concat('{"jsonrpc": "2.0", "id": "', event_id, '", "method": "tools/call", "params": {"name": "verify", "arguments": {"text": "', repeat('x', length(props)), '"}}}')
+      ELSE concat('{"jsonrpc": "2.0", "id": "', event_id, '", "method": "tools/list"}') END""")
+    return streams.responses(load(spark, sf, "events").select("event_id", line.alias("value")), "event_id").select("event_id", "value")

@@ -59,47 +59,35 @@ def whitespace_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("quote_pairs", r"""
-WITH q AS (SELECT doc_id, 'He said "' || left(replace(replace(text, '"', ''), chr(10), ' '), 40) || '" and "' || substr(replace(replace(text, '"', ''), chr(10), ' '), 41, 5) || '" then "open' AS t FROM documents WHERE length(text) > 60),
-p AS (SELECT doc_id, string_split(t, '"') AS a FROM q), x AS (SELECT doc_id, a, unnest(range(2, len(a), 2)) AS k FROM p)
-SELECT doc_id, CAST(length(array_to_string(a[1:k - 1], '"')) + 1 AS BIGINT) AS start, CAST(length(array_to_string(a[1:k], '"')) AS BIGINT) AS "end", a[k] AS body FROM x WHERE length(a[k]) BETWEEN 8 AND 600""")
+WITH RECURSIVE c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE text LIKE '%"%' OR text LIKE '%“%' OR text LIKE '%”%'),
+m AS (SELECT doc_id, ch, CAST(pos AS BIGINT) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c WHERE ch IN ('"', '“', '”')),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS opened, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM (SELECT DISTINCT doc_id FROM m)
+  UNION ALL SELECT m.doc_id, m.k, CASE WHEN ch = '“' THEN pos WHEN opened >= 0 THEN -1 WHEN ch = '"' THEN pos ELSE -1 END, CASE WHEN ch <> '“' AND opened >= 0 THEN opened + 1 END, CASE WHEN ch <> '“' AND opened >= 0 THEN pos END FROM r JOIN m ON m.doc_id = r.doc_id AND m.k = r.k + 1)
+SELECT r.doc_id, s AS start, e AS "end", substr(text, s + 1, e - s) AS body FROM r JOIN documents USING (doc_id) WHERE e - s BETWEEN 8 AND 600""")
 def quote_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").where(F.length("text") > 60)
-    plain = F.replace(F.replace(F.col("text"), F.lit('"'), F.lit("")), F.lit("\n"), F.lit(" "))
-    quoted = F.concat(F.lit('He said "'), F.left(plain, F.lit(40)), F.lit('" and "'), F.substring(plain, 41, 5), F.lit('" then "open'))
-    return text.quotations(docs.select("doc_id", quoted.alias("t")), "doc_id", "t")
+    """The quotations that stand in the documents."""
+    return text.quotations(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @register("quote_normal_forms", r"""
-WITH q AS (SELECT item_id, '[' || left(text, 1) || ']' || substr(text, 2, 60) || ' . . . ' || substr(text, 70, 30) || '.' AS t FROM benchmark)
-SELECT item_id, lower(regexp_replace(trim(regexp_replace(translate(translate(regexp_replace(regexp_replace(t, '\[?(\.\s*){3,4}\]?|…', ' ␞ ', 'g'), '\[([^\]]*)\]', '\1', 'g'), '''', ''), '"“”', '   '), '[ \t\n\r\f\v]+', ' ', 'g')), '^[.,;: ]+|[.,;: ]+$', '', 'g')) AS normal FROM q""")
+WITH a AS (SELECT item_id, regexp_replace(replace('[' || left(text, 1) || ']' || substr(text, 2) || ' . . . "Quoted" – end', chr(173), ''), '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g') AS t FROM benchmark),
+b AS (SELECT item_id, regexp_replace(regexp_replace(translate(t, '–—‘’', '--' || chr(39) || chr(39)), '\[?(\.\s*){3,4}\]?|…', ' ␞ ', 'g'), '\[([^\]]*)\]', '\1', 'g') AS t FROM a)
+SELECT item_id, lower(regexp_replace(trim(regexp_replace(translate(replace(t, chr(39), ''), '"“”', '   '), '[ \t\n\r\f\v]+', ' ', 'g')), '^[.,;: ]+|[.,;: ]+$', '', 'g')) AS normal FROM b""")
 def quote_normal_forms(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.lit("["), F.left("text", F.lit(1)), F.lit("]"), F.substring("text", 2, 60), F.lit(" . . . "), F.substring("text", 70, 30), F.lit("."))
+    """Whole passages, with a bracketed first letter, an ellipsis, marks and a dash added."""
+    t = F.concat(F.lit("["), F.left("text", F.lit(1)), F.lit("]"), F.expr("substring(text, 2)"), F.lit(' . . . "Quoted" – end'))
     return load(spark, sf, "benchmark").select("item_id", text.normalize_quote(t).alias("normal"))
 
 
 @register("ellipsis_segments", r"""
-SELECT item_id, CASE WHEN strpos(text, substr(text, 31, 20)) > 0 THEN strpos(substr(text, strpos(text, left(text, 20)) + 20), substr(text, 31, 20)) > 0 END AS in_order FROM benchmark WHERE length(text) > 60""")
+WITH h AS (SELECT item_id, text, left(text, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM benchmark), p AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN a ELSE b END AS x, CASE WHEN item_id % 2 = 0 THEN b ELSE a END AS y FROM h)
+SELECT item_id, strpos(text, x) > 0 AND strpos(substr(text, strpos(text, x) + length(x)), y) > 0 AS in_order FROM p""")
 def ellipsis_segments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "benchmark").where(F.length("text") > 60).withColumn("parts", F.array(F.left("text", F.lit(20)), F.substring("text", 31, 20)))
-    return rows.select("item_id", text.segments_in_order("text", "parts").isNotNull().alias("in_order"))
-
-
-@register("document_quotations")
-def document_quotations(spark: SparkSession, sf: str) -> DataFrame:
-    """The quotations that stand in the documents, over whole texts; quote_pairs is the scan over made-up sentences that its SQL states."""
-    return text.quotations(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-
-
-@register("passage_normal_forms")
-def passage_normal_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "benchmark").select("item_id", text.normalize_quote(F.col("text")).alias("normal"))
-
-
-@register("passage_segments")
-def passage_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the halves of a whole passage stand in order in it."""
+    """The halves of whole passages, every other time the second one first."""
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = load(spark, sf, "benchmark").withColumn("parts", F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
+    a, b = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    even = F.col("item_id") % 2 == 0
+    rows = load(spark, sf, "benchmark").withColumn("parts", F.array(F.when(even, a).otherwise(b), F.when(even, b).otherwise(a)))
     return rows.select("item_id", text.segments_in_order("text", "parts").isNotNull().alias("in_order"))
 
 
@@ -155,7 +143,7 @@ def designators(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("name_tokens", r"""
 SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'),
-  lambda w: w <> '' AND w NOT IN ('the','of','and','a','an','in','for','et','al','v','vs','ex','rel','re','inc','corp','co','llc','ltd','company','corporation')))), ' ') AS tokens FROM part""")
+  lambda w: w <> '' AND w NOT IN ('the', 'of', 'and', 'a', 'an', 'et', 'al', 'in', 're', 'on', 'v', 'vs', 'versus', 'petitioner', 'estate', 'matter')))), ' ') AS tokens FROM part""")
 def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", F.array_join(names.tokens(F.col("p_name")), " ").alias("tokens"))
 
@@ -192,7 +180,13 @@ def passage_ngram_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return joins.gram_candidates(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 6)
 
 
-@register("html_flatten")
+HIDDEN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"""
+PLAIN_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&mdash;', '—'), '&ndash;', '–'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))"""
+
+
+@register("html_flatten", rf"""
+WITH t AS (SELECT page_id, regexp_replace(regexp_replace({HIDDEN_SQL}, '(?i)</?({markup.BLOCK})(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {PLAIN_SQL}), lambda x: x <> ''), chr(10)) AS text FROM t""")
 def html_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", markup.flatten(F.col("html")).alias("text"))
 
@@ -210,7 +204,9 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("page_id", F.size("l").alias("n_links"), F.array_join("l", " ").alias("links"))
 
 
-@register("text_nodes")
+@register("text_nodes", rf"""
+WITH t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array({HIDDEN_SQL}, '<[^>]*>'), lambda x: {PLAIN_SQL}), lambda x: length(x) >= 8) AS l FROM pages)
+SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n, unnest(l) AS node FROM t""")
 def text_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", F.posexplode(markup.text_nodes(F.col("html"))).alias("n", "node"))
 
@@ -232,14 +228,22 @@ def content_identity(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.left(F.sha2(F.lower(F.trim("source")), 256), F.lit(24)).alias("cache_key"))
 
 
-@register("page_concat", r"""SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS page_text FROM conversations GROUP BY conv_id""")
+@register("page_concat", r"""
+WITH t AS (SELECT conv_id, role, turn, text || CASE WHEN turn < max(turn) OVER (PARTITION BY conv_id) THEN chr(10) ELSE '' END AS part FROM conversations)
+SELECT conv_id, role AS label, string_agg(part, ' ' ORDER BY turn) AS page_text FROM t GROUP BY 1, 2""")
 def page_concat(spark: SparkSession, sf: str) -> DataFrame:
-    x = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return x.select("conv_id", F.array_join(F.transform("x", lambda t: t["text"]), " ").alias("page_text"))
+    """The turns of a conversation as one text with a mark where each begins; a role's label returns again and again."""
+    from docproof.operators import windows
+
+    c = load(spark, sf, "conversations")
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("whole"))
+    marks = c.select("conv_id", F.col("role").alias("label"), windows.offset_before(F.length("text") + 1, "conv_id", ["turn"]).alias("offset"))
+    return windows.page_texts(marks.join(whole, "conv_id"), "conv_id", "whole")
 
 
 @register("output_lines", r"""
-SELECT doc_id, CASE WHEN length(x) > 200 THEN left(x, 197) || '...' ELSE x END AS line FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\n\r\t|]+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g')) AS x FROM documents)""")
+SELECT doc_id, CASE WHEN length(x) > 300 THEN left(x, 297) || '...' ELSE x END AS line FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[|\r\n]+', ' ', 'g'),
+  '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS x FROM documents)""")
 def output_lines(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", text.flatten_for_output(F.col("text")).alias("line"))
 

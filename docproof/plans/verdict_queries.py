@@ -217,7 +217,8 @@ def common_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("checks_cell", f"""
-WITH {CHECKS_SQL} SELECT l_orderkey, string_agg(dimension || ': ' || verdict, '; ' ORDER BY list_position(['reporter_valid', 'existence', 'case_name', 'court', 'year', 'quote', 'pincite'], dimension), verdict) AS checks FROM checks GROUP BY 1""")
+WITH {CHECKS_SQL} SELECT l_orderkey, coalesce(string_agg(dimension || ': `' || verdict || '`', '; ' ORDER BY list_position(['FAIL', 'NOT_FOUND', 'AMBIGUOUS', 'NOT_CHECKABLE', 'OUT_OF_SCOPE', 'N/A', 'PASS'], verdict),
+  list_position(['reporter_valid', 'existence', 'case_name', 'court', 'year', 'quote', 'pincite'], dimension)) FILTER (verdict <> 'PENDING'), 'none decided') AS checks FROM checks GROUP BY 1""")
 def checks_cell(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.checks_cell(checks(spark, sf), ["l_orderkey"])
 

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("docproof.plans.text_queries", "docproof.plans.link_queries", "docproof.plans.verdict_queries")
+MODULES = ("docproof.plans.text_queries", "docproof.plans.link_queries", "docproof.plans.verdict_queries", "docproof.plans.audit_queries")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

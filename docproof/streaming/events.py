@@ -60,10 +60,10 @@ def token_bucket(events: DataFrame, key: str, capacity: int, seconds: int = 60)
     return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(run, schema, "kept array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def responses(requests: DataFrame) -> DataFrame:
-    """JSON-RPC lines in `value` to reply lines; notifications get none, malformed lines an error, never a verdict."""
+def responses(requests: DataFrame, *keep: str) -> DataFrame:
+    """JSON-RPC lines in `value` to reply lines, with columns to keep; notifications get none, malformed lines an error, never a verdict."""
     got = F.from_json("value", "jsonrpc string, id string, method string, params struct<name:string,arguments:struct<text:string,path:string,offline:boolean>>")
-    rows = requests.select("value", got.alias("r"))
+    rows = requests.select("value", *keep, got.alias("r"))
     malformed = F.col("r").isNull() | F.col("r.method").isNull()
     known = F.col("r.method").isin("initialize", "tools/list", "tools/call", "ping")
     result = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("r.id").alias("id"), F.struct(F.col("r.method").alias("method"), F.length("r.params.arguments.text").alias("n_chars")).alias("result")))
@@ -72,7 +72,7 @@ def responses(requests: DataFrame) -> DataFrame:
         return F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("r.id").alias("id"), F.struct(F.lit(code).alias("code"), F.lit(text).alias("message")).alias("error")))
 
     reply = F.when(malformed, error(-32700, "parse error")).when(~known, error(-32601, "unknown method")).otherwise(result)
-    return rows.where(malformed | F.col("r.id").isNotNull()).select(reply.alias("value"))
+    return rows.where(malformed | F.col("r.id").isNotNull()).select(reply.alias("value"), *keep)
 
 
 def serve(spark: SparkSession, source: str, target: str, checkpoint: str):

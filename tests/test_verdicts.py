@@ -39,6 +39,39 @@ def test_rollup_precedence(spark):
     assert got == {1: "PENDING", 2: "FLAGGED", 3: "UNVERIFIED", 4: "REVIEW", 5: "REVIEW", 6: "VERIFIED", 7: "REVIEW"}
 
 
-def test_absence_is_never_a_failure():
-    assert not {"NOT_FOUND", "NOT_CHECKABLE", "OUT_OF_SCOPE"} & {"FAIL"}
-    assert V.STANDING["NOT_FOUND"] > V.STANDING["FAIL"]
+def test_absence_is_never_a_failure(spark):
+    """Whatever the lookup says, only what contradicts a citation fails it."""
+    rows = [(s, n, a, r) for s, n, a, r in product((-1, 200, 300, 400, 404, 429, 500), (0, 1, 2), (True, False), ("PASS", "FAIL", "N/A"))]
+    df = spark.createDataFrame(rows, "status int, n_matching int, name_asserted boolean, local_reporter string")
+    failed = {(r.status, r.n_matching, r.name_asserted, r.local_reporter, r.dimension) for r in V.firewall(df).where("verdict = 'FAIL'").collect()}
+    assert failed == {(300, 0, True, r, "case_name") for r in ("PASS", "FAIL", "N/A")} | {(400, n, a, r, "reporter_valid") for n in (0, 1, 2) for a in (True, False) for r in ("FAIL", "N/A")}
+
+
+def test_reports_of_one_document(spark):
+    import json
+
+    from docproof.sources import sinks
+
+    checks = spark.createDataFrame([(1, 1, "quote", "PASS"), (1, 1, "existence", "NOT_FOUND"), (1, 2, "quote", "FAIL"), (1, 2, "case_name", "AMBIGUOUS"), (1, 3, "quote", "PENDING"), (1, 4, "quote", "PASS")], "doc int, id int, dimension string, verdict string")
+    entries = spark.createDataFrame([(1, 1, "UNVERIFIED"), (1, 2, "FLAGGED"), (1, 3, "PENDING"), (1, 4, "VERIFIED")], "doc int, id int, overall string")
+    cells = {r.id: r.checks for r in sinks.checks_cell(checks, ["doc", "id"]).collect()}
+    assert cells == {1: "existence: `NOT_FOUND`; quote: `PASS`", 2: "quote: `FAIL`; case_name: `AMBIGUOUS`", 3: "none decided", 4: "quote: `PASS`"}
+    (report,) = sinks.report_lines(entries, checks, "doc", "id").collect()
+    lines = report.report.split("\n")
+    assert [x[4:].split("*")[0] for x in lines if x.startswith("- **")] == ["FLAGGED", "UNVERIFIED", "PENDING"] and "VERIFIED** 4" not in report.report
+    assert lines[1].startswith("  - case_name: AMBIGUOUS.") and lines[2].startswith("  - quote: FAIL.")
+    (row,) = sinks.ledger_json(entries, checks, "doc", "id").collect()
+    said = json.loads(row.ledger)
+    assert said["n"] == 4 and [e["overall"] for e in said["entries"]] == ["UNVERIFIED", "FLAGGED", "PENDING", "VERIFIED"] and len(said["entries"][1]["checks"]) == 2
+
+
+def test_ledger_survives_a_restart(spark, tmp_path):
+    from docproof.operators import ledger
+
+    rows = spark.createDataFrame([(1, "a", "FLAGGED"), (2, "b", None)], "id long, name string, overall string")
+    for _ in range(2):
+        ledger.checkpoint(rows, str(tmp_path / "l"))
+    again = ledger.reload(spark, str(tmp_path / "l"), "id long, name string, overall string, later string")
+    assert sorted(map(tuple, again.collect())) == [(1, "a", "FLAGGED", None), (2, "b", None, None)]
+    metrics = spark.createDataFrame([(0.8333, 0.24)], "p double, r double")
+    assert [r.row for r in ledger.result_rows(metrics, {"p": "Precision", "r": "Recall"}).collect()] == ["| Precision | 83.3% |", "| Recall | 24.0% |"]
