@@ -5,40 +5,41 @@ Filters of widths 1, 2 and 3 slide over the whole text; each filter's largest re
 pooling) feeds a logistic layer. Responses are tabulated per distinct word, so a position costs one
 row of a table for each place in a filter.
 
-Training takes a bounded sample of the labelled rows (`most_positive`, `most_negative` documents,
-chosen by a hash of the id) and only rows with crc32(doc_id as text) % 3 != 1. Thresholds are
+Training takes a bounded sample of the labelled rows (`most_positive`, `most_negative` documents and
+`most_bytes` of their texts, chosen by a hash of the id) and only rows with crc32(doc_id as text) % 3 != 1. Thresholds are
 calibrated by language: the language is recognised from the words of the text itself (hashed word
 frequencies per language, learnt from the same sample), the best threshold of each language is
 taken on a part of the sample that the filters are not fitted to, and scores are shifted so that it
 stands at 0.7. A score depends on the text alone.
 
 Defined cases: null text is scored as the empty text; rows without a label, and null labels, teach
-nothing; conflicting labels of one doc_id count as toxic; without labelled rows of both classes every score is 0;
+nothing; conflicting labels of one doc_id count as toxic; rows that share a doc_id teach once; without labelled rows of both classes every score is 0;
 repeated rows are scored alike; further columns are ignored by `score` and kept by `attach`.
 """
 
 from __future__ import annotations
 
-import multiprocessing
+import pickle
 from collections.abc import Iterator
-from concurrent.futures import ProcessPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docproof.llm._common import mixed, powers, small_batches, table, text_bytes, text_slices
+from docproof.llm._common import mixed, powers, small_batches, table, text_bytes, text_slices, tidy
 
 #: A document is rejected from this score on.
 THRESHOLD = 0.7
 ROWS_BITS, DIM, FILTERS, WIDTHS = 17, 16, 12, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
 EDGES = b".,;:!?\"'()[]{}<>*#$%&_-|"
-#: Bounds of the training sample, in documents.
-MOST_POSITIVE, MOST_NEGATIVE = 2000, 3000
+#: Bounds of the training sample: documents of each class, text bytes of each class, and of one document. Training is one
+#: task over this sample; longer documents are scored whole but teach nothing.
+MOST_POSITIVE, MOST_NEGATIVE, MOST_BYTES, MOST_TEXT = 2000, 3000, 16 << 20, 256 << 10
 
 
 def word_rows(words: list[bytes], most: int = 50_000) -> np.ndarray:
@@ -254,27 +255,42 @@ def calibrate(m: Model, numbered: list, feats: np.ndarray, labels: np.ndarray, h
             m.thresholds[k] = min(overall, max(0.5, float(np.quantile(clean, 0.995)) + 0.7)) if len(clean) >= 30 else overall
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> DataFrame:
-    """The bounded training sample: text, lang, toxic. Ids whose crc32 modulo 3 is 1 stay out."""
+def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE, most_bytes: int = MOST_BYTES, most_text: int = MOST_TEXT) -> DataFrame:
+    """The bounded training sample: doc_id, text, lang, toxic. Ids whose crc32 modulo 3 is 1 stay out; of rows that share an
+    id the one with the smallest hash teaches."""
     told = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     told = told.where(~held_out())
     order = F.xxhash64("doc_id")
-    picked = told.where("toxic = 1").orderBy(order).limit(most_positive).unionByName(told.where("toxic = 0").orderBy(order).limit(most_negative))
+    picked = told.where("toxic = 1").orderBy(order, "doc_id").limit(most_positive).unionByName(told.where("toxic = 0").orderBy(order, "doc_id").limit(most_negative))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    rows = rows.where(F.octet_length("text") <= most_text).join(F.broadcast(picked), "doc_id")
+    own = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("own")
+    upto = F.sum(F.octet_length("own.text")).over(W.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.groupBy("doc_id", "toxic").agg(own).withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "own.text", "own.lang", "toxic")
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model as bytes, from all rows of the bounded sample."""
+    rows = []
+    for b in batches:
+        rows += zip(*(b.column(k).to_pylist() for k in (0, 3, 2)), text_bytes(b.column(1)), strict=True)
+    if rows:
+        _, toxic, langs, texts = zip(*sorted(rows, key=lambda r: r[0]), strict=True)
+        rows.clear()
+        yield pa.record_batch([pa.array([pickle.dumps(fit_numpy(list(texts), np.array(toxic), list(langs)))], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
-    """Trains in a child process, so that its memory does not stay with the driver."""
-    rows = sorted(((r.doc_id, r.text.encode(), r.toxic, r.lang) for r in training_rows(docs, labels, **bounds).toLocalIterator()), key=lambda r: r[:2])
-    _, texts, toxic, langs = zip(*rows, strict=True) if rows else ((), (), (), ())
-    del rows
-    with ProcessPoolExecutor(1, multiprocessing.get_context("fork")) as pool:
-        return pool.submit(fit_numpy, list(texts), np.array(toxic), list(langs)).result()
+    """Trains in one task over the bounded sample; only the model, of fixed size, comes to the driver. A lost executor's task
+    is run again and gives the same model: the sample is ordered by id."""
+    small_batches(docs.sparkSession)
+    found = training_rows(docs, labels, **bounds).repartition(1).mapInArrow(tidy(_trainer), "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
 
 
 def _scorer(model, position: int, most_words: int = 100_000):
@@ -314,7 +330,7 @@ def attach(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), docs.columns.index("text")), schema)
+    return docs.mapInArrow(tidy(_scorer(spark.sparkContext.broadcast(model), docs.columns.index("text"))), schema)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
