@@ -41,11 +41,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS)
     found = shingles.similar(docs)
     # by label, not component_id: unrelated texts may share an id or have none
-    first = found.where("n_shingles > 0").groupBy("label").agg(F.min_by("row", F.struct(order_key(), "row")).alias("row")).select("row")
-    empty = found.where("n_shingles = 0").select("row").distinct()
+    at = F.struct(order_key().alias("doc"), "row")
+    first = found.where("n_shingles > 0").groupBy("label").agg(F.min(at).alias("at")).select("at.*")
+    empty = found.where("n_shingles = 0").select(at.alias("at")).distinct().select("at.*")
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    rows = docs.withColumn("row", row_key()).join(first.union(empty), "row", "left_semi")
-    return rows.withColumn("n", F.when(has_words, 0).otherwise(F.monotonically_increasing_id())).dropDuplicates(["row", "n"]).select(*COLUMNS)
+    rows = docs.withColumn("doc", order_key()).withColumn("row", row_key()).join(first.union(empty), ["doc", "row"], "left_semi")
+    return rows.withColumn("n", F.when(has_words, 0).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc", "row", "n"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

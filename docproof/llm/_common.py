@@ -6,14 +6,18 @@ what ``bytes.split()`` yields on UTF-8 text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The same word rule as a Java regular expression.
@@ -27,14 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_root: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (a local test session) a temporary folder stands in."""
+    Without that setting a session in one process (a local test) gets a temporary folder; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="docproof-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="docproof-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,12 +56,41 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, column: str | None = None) -> tuple[DataFrame, int]:
+    """As `saved`, and the number of rows, or the sum of a column, counted as they are written."""
+    seen = Observation()
+    out = saved(df.observe(seen, (F.sum(column) if column else F.count(F.lit(1))).alias("n")), name)
+    return out, int(seen.get["n"] or 0)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Keys that hold more than one part in so many of all rows count as hot.
+HOT_KEYS = 4096
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Joins left rows to the one right row of their key, if there is one; right names how many of the `total` left rows each key
+    has in `weight`. Keys with more than 1/HOT_KEYS of these, so at most HOT_KEYS of them, are broadcast: no task gets all rows of one."""
+    right = right.where(F.col(key).isNotNull())
+    hot = right.where(F.col(weight) * HOT_KEYS > total).drop(weight)
+    extra = [c for c in hot.columns if c != key]
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    cold = marked.where("__hot is null").drop(*extra, "__hot").join(right.where(F.col(weight) * HOT_KEYS <= total).drop(weight), key, "left")
+    return marked.where("__hot").drop("__hot").unionByName(cold)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of finished rounds now: its cleaner waits until the driver's
+    garbage is collected, which on a large heap can take longer than many rounds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,10 +106,23 @@ def order_key(column: str = "doc_id") -> Column:
 
 
 def row_key(column: str = "doc_id", text: str = "text") -> Column:
-    """Names a row: rows equal in id and text share it, as their results are equal."""
+    """Names a row among those of its doc_id: rows equal in id and text share it, as their results are equal. Only the pair
+    of doc_id and this key names a row of a table."""
     return F.xxhash64(F.col(column), F.col(text), F.col(text).isNull())
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back at its end: Python workers live on, idle ones too."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about `most` bytes of text; one text stays whole."""
     col = batch.column(column)

@@ -9,10 +9,14 @@ Both find repeats in three steps that never pair up occurrences:
 2. Those are decided window by window by the operator itself, dealt again by content.
 3. The covered parts go back to the documents by row key.
 
-Occurrences are packed into binary rows, one for each task and bucket, and tasks settle what they
-can before the shuffle; the largest group therefore brings a task one entry for each task before it
-and distinct context. Answers to documents are packed as well, by bucket
-of row keys. The texts cross one shuffle, which all three steps read.
+Occurrences are packed into binary rows, one for each flush of a task and bucket, and tasks settle what they
+can before the shuffle; the largest group therefore brings a task one entry for each flush before it
+and distinct context. Buckets are numbered, dealt evenly and decided one after another, so that a task holds one of them
+at a time. Answers to documents are packed as well, by bucket of row keys. The texts cross one shuffle, which all
+three steps read.
+
+An occurrence's (h, c) are two independent 62-bit names over prime fields, of words or bytes that have two independent
+64-bit names each.
 """
 
 from __future__ import annotations
@@ -24,48 +28,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm._common import SLICE_BYTES, mixed, order_key, row_key, shuffle_parts, small_batches, text_slices
+from docproof.llm._common import SLICE_BYTES, mixed, order_key, row_key, shuffle_parts, small_batches, text_slices, tidy
 
-#: 3 modulo 4, so that few low bits of the differences of powers vanish.
-BASE, SECOND_BASE = 0x9E3779B97F4A7C17, 0xD1342543DE82EF97
+#: Prime moduli below 2**31, so that products and sums of residues fit 64 bits, and a base for each. A sequence is named by
+#: two independent pairs of them: modulo a prime, unlike modulo 2**64, no family of sequences collides whatever the base.
+PRIMES = (2**31 - 1, 2**31 - 19, 2**31 - 61, 2**31 - 69)
+BASES = (1_318_699_027, 884_736_743, 1_640_531_527, 402_653_189)
 #: Text bytes whose anchors a task packs at a time.
 FLUSH_BYTES = 8 << 20
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+def power_table(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo prime."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 18):
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+        have = _powers[base, prime] = have.astype(np.uint32)
     return have[:n]
 
 
 class Prefixes:
-    """Hashes of any ranges of a sequence of 64-bit values, by prefix sums modulo 2**64."""
+    """62-bit names of any ranges of a sequence of values, by prefix sums modulo two primes. `values` are 64-bit; their upper
+    and lower halves go to one prime each. `which` takes one of two independent pairs of primes."""
 
-    def __init__(self, values: np.ndarray, base: int = BASE):
+    def __init__(self, values: np.ndarray, which: int = 0):
         n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * power_table(base, n), out=self.sums[1:])
-        self.back = power_table(pow(base, -1, 1 << 64), n + 1)
+        self.parts = []
+        for k, half in enumerate((values >> np.uint64(33), values & np.uint64(0x7FFFFFFF))):
+            prime, base = PRIMES[2 * which + k], BASES[2 * which + k]
+            sums = np.zeros(n + 1, np.uint64)
+            half = (half + np.uint64(1)) * power_table(base, prime, n)
+            half %= np.uint64(prime)
+            np.cumsum(half, out=sums[1:])  # exact: below 2**64 for 2**33 values
+            self.parts.append((sums, power_table(pow(base, -1, prime), prime, n + 1), np.uint64(prime)))
 
     def ranges(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return (self.sums[last] - self.sums[first]) * self.back[first]
+        a, b = ((sums[last] - sums[first]) % prime * back[first] % prime for sums, back, prime in self.parts)
+        return a << np.uint64(31) | b
 
     def sliding(self, width: int) -> np.ndarray:
-        """The hash of every range of a width, without the finaliser."""
-        n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
+        """The name of every range of a width."""
+        n = len(self.parts[0][0]) - width
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        a, b = ((sums[width:] - sums[:n]) % prime * back[:n] % prime for sums, back, prime in self.parts)
+        return a << np.uint64(31) | b
 
 
-_bytes = mixed(np.arange(1, 257, dtype=np.uint64))
+_bytes = [mixed(np.arange(1 + k, 257 + k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 1000)]
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _bytes[data]
+def byte_values(data: np.ndarray, which: int = 0) -> np.ndarray:
+    return _bytes[which][data]
 
 
 #: An occurrence: hashes, then who and where.
@@ -109,43 +127,73 @@ def runs(new: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(new)], strict=True)) if cuts else []
 
 
-def answer(row: np.ndarray, pos: np.ndarray, flag: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Positions for documents, as one payload for each bucket of row keys. Documents have an eighth as many
-    buckets as hashes: a step's answers are a fraction of its questions, and rows stay few."""
-    buckets = max(1, buckets // 8)
+def answer(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, flag: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Positions for documents, as one payload for each bucket of row keys. Documents have a quarter as many
+    buckets as hashes: a step's answers are a fraction of its questions, and rows stay few. A payload holds its flag, the
+    numbers of documents and positions, then documents, row keys, counts and positions."""
+    buckets = max(1, buckets // SPREAD)
     bucket = (mixed(row.astype(np.int64).view(np.uint64)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
-    order = np.lexsort((pos, row, bucket))
-    row, pos, bucket = row[order], pos[order], bucket[order]
-    for a, b in runs(starts_of(bucket)):
-        yield 1, int(bucket[a]), bytes([flag]) + np.uint32(b - a).tobytes() + row[a:b].astype("<i8").tobytes() + pos[a:b].astype("<u4").tobytes()
+    order = np.lexsort((pos, row, doc, bucket))
+    doc, row, pos, bucket = doc[order], row[order], pos[order], bucket[order]
+    owner = np.flatnonzero(starts_of(bucket, doc, row))
+    counts = np.diff([*owner, len(pos)])
+    cuts = starts_of(bucket[owner])
+    for a, b in runs(cuts):
+        who, first, last = owner[a:b], owner[a], owner[b] if b < len(owner) else len(pos)
+        head = bytes([flag]) + np.array([b - a, last - first], "<u4").tobytes()
+        yield 1, int(bucket[first]), head + doc[who].astype("<i8").tobytes() + row[who].astype("<i8").tobytes() + counts[a:b].astype("<u4").tobytes() + pos[first:last].astype("<u4").tobytes()
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its positions, a payload for each flag."""
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """One row for each document: its positions, a payload for each flag. Rows come sorted by bucket; one is held at a time."""
+
+    def of_bucket(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        docs, rows, flags, places = [], [], [], []
+        for p in payloads:
+            m, n = np.frombuffer(p, "<u4", 2, 1).tolist()
+            counts = np.frombuffer(p, "<u4", m, 9 + 16 * m)
+            docs.append(np.repeat(np.frombuffer(p, "<i8", m, 9), counts))
+            rows.append(np.repeat(np.frombuffer(p, "<i8", m, 9 + 8 * m), counts))
+            flags.append(np.full(n, p[0], np.uint8))
+            places.append(np.frombuffer(p, "<u4", n, 9 + 20 * m))
+        doc, row, flag, pos = (np.concatenate(x) for x in (docs, rows, flags, places))
+        order = np.lexsort((pos, flag, row, doc))
+        doc, row, flag, pos = doc[order], row[order], flag[order], pos[order]
+        keep = starts_of(doc, row, flag, pos)
+        doc, row, flag, pos = doc[keep], row[keep], flag[keep], pos[keep].astype("<u4")
+        keys, found = [], []
+        for a, b in runs(starts_of(doc, row, flag)):
+            if not keys or keys[-1] != (doc[a], row[a]):
+                keys.append((doc[a], row[a]))
+                found.append([])
+            found[-1].append(bytes([flag[a]]) + pos[a:b].tobytes())
+        for k in range(0, len(keys), 2000):
+            some = np.array(keys[k : k + 2000], np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(found[k : k + 2000], pa.list_(pa.binary()))], names=["doc", "row", "payloads"])
+
+    for _, payloads in by_key(batches):
+        yield from of_bucket(payloads)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], through: list | None = None, one_by_one: bool = False) -> Iterator[tuple[int, list[bytes]]]:
+    """(key, payloads) of rows that come sorted by kind and key. With `through`, rows of kind 1 go there instead. one_by_one
+    gives a key's payloads as they come."""
+    key, payloads = None, []
     for b in batches:
-        for p in b.column(2).to_pylist():
-            n = int(np.frombuffer(p, "<u4", 1, 1)[0])
-            found.setdefault(p[0], []).append((np.frombuffer(p, "<i8", n, 5), np.frombuffer(p, "<u4", n, 5 + 8 * n)))
-    rows, flags, positions_ = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint32)]
-    for flag, parts in found.items():
-        rows += [r for r, _ in parts]
-        positions_ += [p for _, p in parts]
-        flags.append(np.full(sum(len(r) for r, _ in parts), flag, np.uint8))
-    found.clear()
-    row, flag, pos = np.concatenate(rows), np.concatenate(flags), np.concatenate(positions_)
-    order = np.lexsort((pos, flag, row))
-    row, flag, pos = row[order], flag[order], pos[order]
-    keep = starts_of(row, flag, pos)
-    row, flag, pos = row[keep], flag[keep], pos[keep].astype("<u4")
-    keys, payloads = [], []
-    for a, b in runs(starts_of(row, flag)):
-        if not keys or keys[-1] != row[a]:
-            keys.append(int(row[a]))
-            payloads.append([])
-        payloads[-1].append(bytes([flag[a]]) + pos[a:b].tobytes())
-    for k in range(0, len(keys), 2000):
-        yield pa.record_batch([pa.array(keys[k : k + 2000], pa.int64()), pa.array(payloads[k : k + 2000], pa.list_(pa.binary()))], names=["row", "payloads"])
+        kinds = b.column(0).to_numpy(zero_copy_only=False)
+        if through is not None and kinds.any():
+            through.append(b.filter(pa.array(kinds == 1)))
+            b = b.filter(pa.array(kinds == 0))
+        for k, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if (k != key or one_by_one) and payloads:
+                yield key, payloads
+                payloads = []
+            key = k
+            payloads.append(p)
+        if through:
+            yield -1, []  # lets the rows pass before more are read
+    if payloads:
+        yield key, payloads
 
 
 OUT = "kind int, key long, payload binary"
@@ -169,9 +217,14 @@ def in_batches(rows: Iterator[tuple[int, int, bytes]], most: int = 8 << 20) -> I
         yield out_batch(held)
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash. Hashes are scrambled once more: those that arrive were often chosen for being small."""
+    return (mixed(h + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+
+
 def dealt(cols: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Entries as one payload for each bucket of h."""
-    bucket = (cols["h"] >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    bucket = bucket_of(cols["h"], buckets)
     order = np.argsort(bucket, kind="stable")  # within a bucket the rows stay together
     cols, bucket = take(cols, order), bucket[order]
     for a, b in runs(starts_of(bucket)):
@@ -194,12 +247,12 @@ def first_of_class(cols: dict[str, np.ndarray], within_document: bool) -> tuple[
 def sender(entries: Callable[[pa.RecordBatch], tuple], buckets: int, within_document: bool, flag: int, slice_bytes: int = SLICE_BYTES):
     """Sends entries to the buckets of their hash, and settled ones straight to their documents.
 
-    entries(batch) -> (index of the row, pos, h, c), and (rows, positions) settled before, to pass on."""
+    entries(batch) -> (index of the row, pos, h, c), and (docs, rows, positions) settled before, to pass on."""
 
     def flush(held: list[dict], through: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
         cols, first = first_of_class({f: np.concatenate([np.zeros(0, ENTRY[f]), *(x[f] for x in held)]) for f in FIELDS}, within_document)
         late = take(cols, ~first)
-        yield from answer(late["row"], late["pos"], flag, buckets)
+        yield from answer(late["doc"], late["row"], late["pos"], flag, buckets)
         if through:
             yield from answer(*(np.concatenate(x) for x in zip(*through, strict=True)), SETTLED, buckets)
         kept = take(cols, first)
@@ -224,33 +277,60 @@ def sender(entries: Callable[[pa.RecordBatch], tuple], buckets: int, within_docu
     return run
 
 
-def reducer(decide: Callable[[list[bytes]], Iterator[tuple[int, int, bytes]]]):
-    """Runs `decide` over all payloads of a task's buckets; rows for documents pass through."""
+#: Positions that a task gathers before it packs them for their documents.
+ANSWERS = 1 << 18
+
+#: A flag, and documents, row keys and positions.
+Found = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Answers:
+    """Answers of many buckets or blocks, packed together: rows to documents stay few."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, {}, 0
+
+    def add(self, found: Found) -> None:
+        if len(found[1]):
+            self.held.setdefault(found[0], []).append(found[1:])
+            self.size += len(found[1])
+
+    def rows(self, last: bool = False) -> Iterator[tuple[int, int, bytes]]:
+        if last or self.size >= ANSWERS:
+            for flag, parts in self.held.items():
+                yield from answer(*(np.concatenate(x) for x in zip(*parts, strict=True)), flag, self.buckets)
+            self.held, self.size = {}, 0
+
+
+def reducer(decide: Callable[[list[bytes]], Iterator[Found]], buckets: int):
+    """Runs `decide` over the payloads of one bucket after another; rows for documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payloads: list[bytes] = []
-        for b in batches:
-            kinds = b.column(0).to_numpy(zero_copy_only=False)
-            through = b.filter(pa.array(kinds == 1))
-            if len(through):
-                yield through
-            payloads += b.filter(pa.array(kinds == 0)).column(2).to_pylist()
-        if payloads:
-            yield from in_batches(decide(payloads))
+        through: list[pa.RecordBatch] = []
+        answers_ = Answers(buckets)
+        for _, payloads in by_key(batches, through):
+            yield from through
+            through.clear()
+            if payloads:
+                for found in decide(payloads):
+                    answers_.add(found)
+                yield from in_batches(answers_.rows())
+        yield from through
+        yield from in_batches(answers_.rows(last=True))
 
     return run
 
 
-def anchors_decided(within_document: bool, buckets: int):
+def anchors_decided(within_document: bool):
     """Settled occurrences, and the open ones: first of their context, in a group of several."""
 
-    def decide(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def decide(payloads: list[bytes]) -> Iterator[Found]:
         cols, first = first_of_class(unpack(payloads), within_document)
         payloads.clear()
         if not len(first):
             return
         late = ~first
-        yield from answer(cols["row"][late], cols["pos"][late], SETTLED, buckets)
+        yield SETTLED, cols["doc"][late], cols["row"][late], cols["pos"][late]
         new_h, new_class = starts_of(cols["h"]), starts_of(cols["h"], cols["c"])
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new_class)[group] > 1
@@ -258,7 +338,17 @@ def anchors_decided(within_document: bool, buckets: int):
             cuts = np.flatnonzero(new_h)
             several &= (np.minimum.reduceat(cols["doc"], cuts) != np.maximum.reduceat(cols["doc"], cuts))[group]
         pick = first & several
-        yield from answer(cols["row"][pick], cols["pos"][pick], OPEN, buckets)
+        yield OPEN, cols["doc"][pick], cols["row"][pick], cols["pos"][pick]
+
+    return decide
+
+
+def classes_decided(within_document: bool):
+    """All but the first of each class are covered."""
+
+    def decide(payloads: list[bytes]) -> Iterator[Found]:
+        cols, first = first_of_class(unpack(payloads), within_document)
+        yield COVERED, cols["doc"][~first], cols["row"][~first], cols["pos"][~first]
 
     return decide
 
@@ -267,21 +357,34 @@ def base_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """row, doc, text, the id and columns to keep, dealt by row key: one shuffle that every step reads again."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)])
     rows = slim.select("doc_id", "text", order_key().alias("doc"), row_key().alias("row"), *[f"__keep{k}" for k in range(len(keep))])
-    return rows.repartition(shuffle_parts(docs.sparkSession), "row")
+    return rows.repartition(shuffle_parts(docs.sparkSession), "doc", "row")
+
+
+#: Buckets of hashes for each shuffle partition: a task decides one of them at a time, which bounds its memory.
+SPREAD = 4
+
+
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket number, equally many buckets to each partition, in sorted order within it."""
+    parts = shuffle_parts(rows.sparkSession)
+    return rows.repartitionById(parts, (F.col("key") * parts / buckets).cast("int")).sortWithinPartitions("kind", "key")
 
 
-def answers(rows: DataFrame) -> DataFrame:
-    """row, payloads of every document with positions."""
-    return rows.repartition(shuffle_parts(rows.sparkSession), "key").mapInArrow(gathered, "row long, payloads array<binary>")
+def answers(rows: DataFrame, buckets: int) -> DataFrame:
+    """doc, row, payloads of every document with positions."""
+    return in_buckets(rows, max(1, buckets // SPREAD)).mapInArrow(tidy(gathered), "doc long, row long, payloads array<binary>")
 
 
-def exchanged(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_parts(rows.sparkSession), "kind", "key")
+def exchanged(rows: DataFrame, buckets: int) -> DataFrame:
+    """Entries to the tasks of their buckets; rows for documents, which have fewer buckets, are spread as well."""
+    parts = shuffle_parts(rows.sparkSession)
+    of = F.when(F.col("kind") == 0, F.col("key") * parts / buckets).otherwise(F.col("key") % parts)
+    return rows.repartitionById(parts, of.cast("int")).sortWithinPartitions("kind", "key")
 
 
 def bucket_count(docs: DataFrame) -> int:
     small_batches(docs.sparkSession)
-    return 2 * shuffle_parts(docs.sparkSession)
+    return SPREAD * shuffle_parts(docs.sparkSession)
 
 
 def positions(payloads: list[bytes] | None, flag: int) -> np.ndarray:
@@ -289,10 +392,11 @@ def positions(payloads: list[bytes] | None, flag: int) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def settled_before(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
-    """Row keys and positions that an earlier step settled."""
-    keys, places = part.column("row").to_pylist(), [positions(own, SETTLED) for own in part.column("payloads").to_pylist()]
-    return (np.repeat(np.array(keys, np.int64), [len(x) for x in places]), np.concatenate(places)) if places else None
+def settled_before(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Documents, row keys and positions that an earlier step settled."""
+    places = [positions(own, SETTLED) for own in part.column("payloads").to_pylist()]
+    sizes = [len(x) for x in places]
+    return (*(np.repeat(part.column(x).to_numpy(zero_copy_only=False), sizes) for x in ("doc", "row")), np.concatenate(places)) if places else None
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docproof.llm._common import small_batches, table, text_bytes, text_slices
+from docproof.llm._common import small_batches, table, text_bytes, text_slices, tidy
 from docproof.llm.tokens import END_ID, default_vocabulary, encoder
 
 WINDOW = 2048
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
     follows the input's partitions, and a lost task gives the same rows when it runs again."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_packer(vocabulary or default_vocabulary(), window), SCHEMA)
+    return slim.mapInArrow(tidy(_packer(vocabulary or default_vocabulary(), window)), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

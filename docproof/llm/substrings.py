@@ -4,8 +4,8 @@ A word is removed where a window of `window` consecutive words over it also star
 with a smaller doc_id. Hashes are taken only at word places that a difference cover modulo PERIOD
 holds: whatever the places of two equal windows, some shift below PERIOD brings both to cover
 places, so both send the same anchor of window - PERIOD + 1 words. Occurrences whose whole surroundings
-repeat are settled by one hash; around the others the windows that hold the anchor are compared by a
-128-bit hash (see _passages for the exchange).
+repeat are settled by two hashes; around the others the windows that hold the anchor are compared by two
+independent hashes (see _passages for the exchange).
 
 Defined cases: null and empty texts have no words; documents shorter than the window lose nothing;
 a null doc_id stands after all others; rows with one doc_id do not affect each other and equal rows
@@ -15,21 +15,21 @@ get equal results; an empty table gives no rows; further columns are ignored or,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from docproof.llm import _passages as P
-from docproof.llm._common import mixed, table, text_bytes, text_slices
+from docproof.llm._common import mixed, table, text_bytes, text_slices, tidy
 
 WINDOW = 50
 #: A perfect difference set: every difference modulo PERIOD occurs between two of its places.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
-_space = np.zeros(256, bool)
-_space[[0x20, *range(0x09, 0x0E)]] = True
 _cover = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -37,16 +37,19 @@ class Words:
     """The words of some texts as hashes: those of text k stand at first[k] .. first[k] + count[k]."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        space = _space[data]
-        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-        starts, ends = edge[::2], edge[1::2]
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.first = np.searchsorted(starts, begins[:-1])
-        self.count = np.searchsorted(starts, begins[1:]) - self.first
-        self.hashes = mixed(P.Prefixes(P.byte_values(data)).ranges(starts, ends))
+        parts = [t.split() for t in texts]
+        self.count = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        # two 64-bit names of each word, the halves of a 128-bit hash that is no polynomial in the word's bytes
+        names = np.frombuffer(b"".join(map(xxh3_128_digest, chain.from_iterable(parts))), "<u8").reshape(-1, 2)
+        self.hashes, self.second = np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])
         self.owner = np.repeat(np.arange(len(texts)), self.count)
-        self.place = np.arange(len(starts)) - self.first[self.owner]
+        self.place = np.arange(len(names)) - self.first[self.owner]
+
+    def prefixes(self) -> Iterator[P.Prefixes]:
+        """Two independent names of any run of words."""
+        yield P.Prefixes(self.hashes, 0)
+        yield P.Prefixes(self.second, 1)
 
 
 def anchors(window: int):
@@ -56,11 +59,11 @@ def anchors(window: int):
         w = Words(text_bytes(part.column("text")))
         n = w.count[w.owner]
         at = np.flatnonzero(_cover[w.place % PERIOD] & (w.place + width <= n) & (n >= window))
-        sums = P.Prefixes(w.hashes)
+        sums, around = w.prefixes()
         begin = w.first[w.owner[at]]
         low, high = np.maximum(begin, at - reach), np.minimum(begin + n[at], at + window)
         shape = mixed(((at - low) * (2 * window + PERIOD) + high - low).astype(np.uint64))
-        return (w.owner[at], w.place[at], mixed(sums.ranges(at, at + width)), mixed(sums.ranges(low, high) ^ shape)), None
+        return (w.owner[at], w.place[at], mixed(sums.ranges(at, at + width)), mixed(around.ranges(low, high)) ^ shape), None
 
     return entries
 
@@ -83,20 +86,12 @@ def windows(window: int):
                 k.append(np.full(len(at[-1]), i))
         k, at = np.concatenate(k), np.concatenate(at)
         begin = w.first[k] + at
-        h, c = (mixed(P.Prefixes(w.hashes, base).ranges(begin, begin + window)) for base in (P.BASE, P.SECOND_BASE))
+        h, c = (mixed(sums.ranges(begin, begin + window)) for sums in w.prefixes())
         return (k, at, h, c), P.settled_before(part)
 
     return entries
 
 
-def windows_decided(buckets: int):
-    def decide(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        cols, first = P.first_of_class(P.unpack(payloads), False)
-        yield from P.answer(cols["row"][~first], cols["pos"][~first], P.COVERED, buckets)
-
-    return decide
-
-
 def removed_ranges(payloads: list[bytes] | None, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     settled, covered = P.positions(payloads, P.SETTLED), P.positions(payloads, P.COVERED)
     starts = np.concatenate([np.maximum(0, settled - PERIOD + 1), covered])
@@ -127,13 +122,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
     """doc_id, text, the kept columns, n_words, spans (removed word runs) and kept_text of every row."""
     buckets = P.bucket_count(docs)
     base = P.base_rows(docs, keep)
-    first = P.exchanged(base.mapInArrow(P.sender(anchors(window), buckets, False, P.SETTLED), P.OUT))
-    places = P.answers(first.mapInArrow(P.reducer(P.anchors_decided(False, buckets)), P.OUT))
-    second = P.exchanged(base.join(places, "row").mapInArrow(P.sender(windows(window), buckets, False, P.COVERED), P.OUT))
-    covered = P.answers(second.mapInArrow(P.reducer(windows_decided(buckets)), P.OUT))
+    first = P.exchanged(base.mapInArrow(tidy(P.sender(anchors(window), buckets, False, P.SETTLED)), P.OUT), buckets)
+    places = P.answers(first.mapInArrow(tidy(P.reducer(P.anchors_decided(False), buckets)), P.OUT), buckets)
+    second = P.exchanged(base.join(places, ["doc", "row"]).mapInArrow(tidy(P.sender(windows(window), buckets, False, P.COVERED)), P.OUT), buckets)
+    covered = P.answers(second.mapInArrow(tidy(P.reducer(P.classes_decided(False), buckets)), P.OUT), buckets)
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", "text string", *[f"__keep{k} {types[c]}" for k, c in enumerate(keep)], "n_words long", "spans array<struct<start:long,end:long>>", "kept_text string"])
-    out = base.join(covered, "row", "left").mapInArrow(_finisher(window, len(keep)), schema)
+    out = base.join(covered, ["doc", "row"], "left").mapInArrow(tidy(_finisher(window, len(keep))), schema)
     return out.select("doc_id", "text", *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)], "n_words", "spans", "kept_text")
 
 

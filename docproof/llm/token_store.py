@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docproof.llm import _passages as P
-from docproof.llm._common import mixed, order_key, row_key, shared_dir, shuffle_parts, small_batches, table, text_bytes, text_slices
+from docproof.llm._common import mixed, order_key, row_key, shared_dir, shuffle_parts, small_batches, table, text_bytes, text_slices, tidy
 from docproof.llm.tokens import END_ID, default_vocabulary, encoder
 
 #: The rolling hash covers so many ids; a chunk ends at one in 2**CUT_BITS places.
@@ -121,9 +121,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     parts = shuffle_parts(spark)
     width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
-    rows = slim.mapInArrow(_chunker(vocabulary, end_id, width), STAGED)
+    rows = slim.mapInArrow(tidy(_chunker(vocabulary, end_id, width)), STAGED)
     # one bucket is one partition, so chunks are never dealt by digest again
-    objects = rows.repartition(parts, "digest").mapInArrow(once, STAGED)
+    objects = rows.repartition(parts, "digest").mapInArrow(tidy(once), STAGED)
     name = f"token_objects_{uuid.uuid4().hex}"
     objects.write.option("path", f"{path}/objects").option("compression", "zstd").bucketBy(parts, "digest").partitionBy("kind").saveAsTable(name)
     listed = spark.table(name).where(F.col("kind") == DOCUMENT).select("doc_id", "row", "n_tokens", F.col("digest").alias("root"))
@@ -203,7 +203,7 @@ def read_ids(spark: SparkSession, path: str, name: str) -> DataFrame:
     chunks = objects.where(F.col("kind") == CHUNK).select("digest", "body")
     parts = refs.join(chunks.hint("merge"), "digest", "left")
     dealt = parts.repartition(shuffle_parts(spark), "root").sortWithinPartitions("root", "place").select("root", "digest", "body")
-    return dealt.mapInArrow(_rebuild(first[0] if first else 4), "root binary, ids binary")
+    return dealt.mapInArrow(tidy(_rebuild(first[0] if first else 4)), "root binary, ids binary")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

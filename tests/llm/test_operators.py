@@ -78,6 +78,31 @@ def test_op1_odd_rows(odd, none):
     assert substrings.dedup(none).collect() == []
 
 
+def like_words(n=10):
+    """Two different words of 2**n letters that every polynomial hash modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_like_words_are_told_apart(spark):
+    a, b = like_words()
+    rows = [(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([a, b] * 30)), (4, " ".join([b, a] * 30)), (5, " ".join([a] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substrings.dedup(df).collect()}
+    assert got == removed_words(rows) and got[2][1] == 0 and got[5][1] == 60
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in shingles.similar(df).collect()) == sorted(brute_components(rows))
+
+
+def test_like_texts_are_told_apart(spark):
+    rows = [(2 * k + i, x + y) for k, n in enumerate((5, 6, 7, 8, 9)) for i, (x, y) in enumerate([like_words(n), like_words(n)[::-1]])]
+    rows += [(100 + k, "q" * 30 + t + "z" * 30) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.dedup(df).collect()}
+    assert got == removed_bytes(rows)
+
+
 def removed_bytes(rows, n=100):
     seen, out = set(), {}
     for i, t in rows:
@@ -109,6 +134,18 @@ def test_op2_odd_rows(spark, odd, none):
     assert suffixes.dedup(none).collect() == []
 
 
+@pytest.mark.parametrize(("block", "hold"), [(400, 2000), (400, 1 << 20), (1 << 20, 700)])
+def test_op2_in_small_blocks(spark, sf, docs, block, hold):
+    """One passage in many surroundings, some of them alike, over several blocks and parts of a bucket; then real texts."""
+    rng = np.random.default_rng(4)
+    passage, sides = "The very same passage stands in all of these texts, wherever one looks for it.", ["".join(rng.choice(list("abcdefgh "), 90)) for _ in range(40)]
+    rows = [(k, sides[int(rng.integers(40))] + passage + sides[int(rng.integers(40))]) for k in range(300)]
+    for some in (rows, docs[:60]):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+        got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.dedup(df, block=block, hold=hold).collect()}
+        assert got == removed_bytes(some)
+
+
 def test_suffix_sorter_against_sorting(spark):
     from docproof.llm.suffix_sort import _loader
 
@@ -120,13 +157,19 @@ def test_suffix_sorter_against_sorting(spark):
     probe = gateway.new_array(gateway.jvm.int, 1)
     kinds[0], kinds[1] = probe.getClass(), ints
     method = sorter.getMethod("sort", kinds)
-    for _ in range(40):
-        t = [*rng.integers(1, 4, rng.integers(1, 25)).tolist(), 0]
+    random = [rng.integers(1, 4, rng.integers(1, 25)).tolist() for _ in range(40)]
+    words = [1, 2]
+    for _ in range(9):  # Fibonacci and Thue-Morse words, runs and periods: suffixes that agree for long
+        words = [words, words + words[: len(words) * 2 // 3]][1]
+    morse = [1 + bin(k).count("1") % 2 for k in range(256)]
+    long = [[1] * 300, [1, 2] * 150, [2, 1, 1] * 100 + [2, 1], words[:400], morse, [*range(1, 200)], [*range(200, 0, -1)], [1] * 150 + [2] + [1] * 150]
+    for t in [*random, *long]:
+        t = [*t, 0]
         array = gateway.new_array(gateway.jvm.int, len(t))
         for k, x in enumerate(t):
             array[k] = x
         args = gateway.new_array(jvm.java.lang.Object, 2)
-        args[0], args[1] = array, 5
+        args[0], args[1] = array, max(t) + 1
         assert list(method.invoke(None, args)) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
@@ -209,6 +252,14 @@ def test_op4_odd_vectors(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_op4_rows_that_share_an_id(spark):
+    """The smallest vector of an id counts, whatever the order and the partitions."""
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 5.0]), (1, [0.2, 9.0]), (2, [0.5, 0.0]), (0, [3.0, 3.0])]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>").repartition(4)
+        assert [(r.query_id, r.vec_id, r.score) for r in neighbours.search(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 2, 0.5), (0, 1, 0.2)]
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
@@ -311,6 +362,60 @@ def test_op6_wrapped_texts(spark, prefix, end):
     assert got == {k: ([wants[k % 4][1]], wants[k % 4][2]) for k in range(len(texts))}
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+MIT_END = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE.'
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+WHOLE = {
+    "MIT": f"MIT License\n\nCopyright (c) 2024 A. Name\n\n{MIT} {MIT_END}",
+    "ISC": f"ISC License\n\nCopyright (c) 2024, A. Name\n\n{ISC}",
+    "BSD-2-Clause": f"Copyright (c) 2024, A. Name\nAll rights reserved.\n\n{BSD}\n\n{BSD_END}",
+    "BSD-3-Clause": f"BSD 3-Clause License\n\n{BSD}\n{BSD_NAMES}\n\n{BSD_END}",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n",
+    "LGPL-2.1-or-later": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n",
+    "GPL-3.0-or-later": "    This program is free  software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM",
+    "EPL-2.0": "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS",
+}
+NOTICES = {
+    "# SPDX-License-Identifier: MIT\nimport os": ["MIT"],
+    "/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause) */\n#include <x.h>": ["BSD-2-Clause", "GPL-2.0-only"],
+    "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\n// more": ["Apache-2.0"],
+    "SPDX-License-Identifier: GPL-2.0+\n": ["GPL-2.0-or-later"],
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+    "no licence at all, but some software and conditions and a license": [],
+}
+
+
+def test_op6_names_whole_public_texts(spark):
+    texts = [*WHOLE.values(), *NOTICES]
+    wants = [[k] for k in WHOLE] + list(NOTICES.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted(r.licenses) for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(wants)), [(texts[k][:40], got[k]) for k in got if got[k] != wants[k]]
+    assert len({name for _, name in licenses.RULES}) >= 25 and all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
+
+
+def test_op6_sql_reads_wrapped_texts_alike(spark, tmp_path):
+    import textwrap
+
+    texts = [*WHOLE.values(), *NOTICES, None, "", "\r\n \r\n", *[("\r\n" if w % 2 else "\n").join(p + x for line in t.split("\n") for x in textwrap.wrap(line, w) or [""]) for w in (31, 60, 76) for p in ("", " * ", "// ") for t in WHOLE.values()]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op6_licenses"](spark, str(tmp_path)).select("doc_id", "sentence_ids", "licenses", "n_unmatched").collect())
+    assert got == sorted(con.sql(ORACLE_SQL["op6_licenses"]).fetchall())
+
+
 def test_op7_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op7_toxicity"](spark, sf).toPandas().set_index("doc_id")
@@ -322,6 +427,36 @@ def test_op7_held_out(spark):
     assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.95
 
 
+def test_op7_scores_equal_a_plain_forward_pass(spark, sf):
+    """Word by word and filter by filter, from the model's numbers alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    some = docs.orderBy("doc_id").limit(40)
+    got = {r.doc_id: r.score for r in toxicity.score(some, m).collect()}
+    for r in some.collect():
+        own = [w.strip(toxicity.EDGES) for w in (r.text or "").encode().split()]
+        rows = toxicity.word_rows(own) if own else np.zeros((0, 5), int)
+        vectors = [np.mean([m.rows[k].astype(float) for k in row], axis=0) if w else np.zeros(toxicity.DIM) for w, row in zip(own, rows, strict=True)] + [np.zeros(toxicity.DIM)] * 2
+        pooled = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                at = [sum(vectors[i + o] @ m.filters[w][o][:, f] for o in range(w)) for i in range(len(own))]
+                pooled.append(max(0.0, max(at) + m.bias[w][f]) if at else 0.0)
+        logit = float(np.dot(pooled, m.weights)) + m.offset
+        evidence = np.sum([m.languages[row[-1]] if w else np.zeros(m.languages.shape[1]) for w, row in zip(own, rows, strict=True)], axis=0) if own else np.zeros(m.languages.shape[1])
+        want = 1 / (1 + np.exp(-(logit - m.thresholds[int(np.argmax(evidence))] + np.log(0.7 / 0.3))))
+        assert got[r.doc_id] == pytest.approx(want, abs=1e-4)
+
+
+def test_op7_sample_is_bounded(spark):
+    rows = [(k % 10, f"text {k} " + "x" * (100 * k), "en") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    told = toxicity.training_rows(docs, labels, most_positive=3, most_bytes=5000, most_text=2500).collect()
+    assert len({r.doc_id for r in told}) == len(told) and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and len(r.text) <= 2500 for r in told)
+    assert all(sum(len(r.text) for r in told if r.toxic == y) <= 5000 for y in (0, 1)) and sum(r.toxic for r in told) <= 3
+
+
 def test_op7_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (4, 1), (6, 0), (8, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -353,7 +488,8 @@ def test_op8_odd_rows(odd, none):
     assert len({tuple(r.parts) for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert fingerprints.fingerprints(none).collect() == []
     (only,) = fingerprints.fingerprints(odd.where("doc_id = 8")).collect()
-    assert only.edited == only.text[: len(only.text) - len(only.text) // 2] + only.text[: len(only.text) // 2]
+    text = next(r[1] for r in ROWS if r[0] == 8)
+    assert only.edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 2] + text[: len(text) // 2]).encode()).hexdigest()
 
 
 def test_op8_copies_and_common_words(spark):
@@ -364,10 +500,63 @@ def test_op8_copies_and_common_words(spark):
     texts = [*rare[:75], *[hot[0]] * 200, *rare[75:], *[hot[1]] * 200, "and of the", "to in is it as", rare[0]]
     rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r.doc_id: r for r in rows.withColumn("near", fingerprints.likeness(rows.parts, rows.edited_parts)).collect()}
-    parts = {r.text: tuple(r.parts) for r in got.values()}
+    parts = {texts[r.doc_id]: tuple(r.parts) for r in got.values()}
     assert len({parts[t] for t in (*hot, "and of the", "to in is it as")}) == 4 and all(any(x) for x in parts.values())
     edges = [got[k] for k in (75, 350)]  # the next documents of these have other texts
-    assert all(r.text in hot and r.edited != r.text and r.near > 0 for r in edges), [(r.text[:9], r.near) for r in edges]
+    assert all(texts[r.doc_id] in hot and r.edited_sha256 != hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.near > 0 for r in edges), [(r.doc_id, r.near) for r in edges]
+
+
+def signed(x, bits):
+    x &= (1 << bits) - 1
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def murmur(values, seed=42):
+    """Spark's hash of an array of longs, restated."""
+    h, m = seed, 0xFFFFFFFF
+    for v in values:
+        for word in (v & m, v >> 32 & m):
+            word = word * 0xCC9E2D51 & m
+            word = (word << 15 | word >> 17) & m
+            h ^= word * 0x1B873593 & m
+            h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & m
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        h ^= h >> 16
+    return signed(h, 32)
+
+
+@pytest.mark.parametrize(("most", "least"), [(0.02, 0.0), (0.3, 0.03), (0.05, 0.5)])
+def test_op8_against_plain_i_match(spark, docs, most, least):
+    """Term sets, exact frequencies over distinct texts, band, subsets, hashes and likeness, one document after another."""
+    import regex
+    import xxhash
+
+    rows = [*docs[:70], (500, docs[3][1]), (501, docs[3][1]), (502, ""), (503, None), (504, "!!"), (505, docs[3][1] + " zusatz")]
+    terms = lambda t: {signed(xxhash.xxh64(w.encode(), seed=42).intdigest(), 64) for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())}
+    texts = {t or "" for _, t in rows}
+    df, count = Counter(x for t in texts for x in terms(t)), Counter(x for _, t in rows for x in terms(t))
+    band = {x for x in df if count[x] >= 2 and least * len(texts) <= df[x] <= max(2.0, most * len(texts))}
+
+    def parts(t):
+        own = sorted(terms(t) & band) or sorted(terms(t))
+        some = [[x for x in own if (x >> 4 * seed) & (scale - 1) == 0] for scale in fingerprints.SCALES for seed in range(fingerprints.SEEDS)]
+        return [murmur(x) if x else 0 for x in some]
+
+    def near(a, b):
+        n = fingerprints.SEEDS
+        return 1.0 if a == b else max(sum(x == y != 0 for x, y in zip(a[k : k + n], b[k : k + n], strict=True)) / n for k in range(0, len(a), n))
+
+    frame = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), most_share=most, least_share=least)
+    got = {r.doc_id: r for r in frame.withColumn("ne", fingerprints.likeness(frame.parts, frame.edited_parts)).withColumn("nn", fingerprints.likeness(frame.parts, frame.next_parts)).collect()}
+    down = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(down):
+        t, after = t or "", down[(k + 1) % len(down)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i].parts == parts(t) and got[i].edited_parts == parts(edited) and got[i].next_parts == parts(after), i
+        assert (got[i].ne, got[i].nn) == (pytest.approx(near(parts(t), parts(edited))), pytest.approx(near(parts(t), parts(after))))
 
 
 def test_op9_equals_its_sql(spark, sf):
@@ -453,3 +642,34 @@ def test_sum_of_squares_takes_the_level_with_the_least_sum():
         chosen = packer.level(size)
         assert chosen in options and squares(chosen) == min(map(squares, options))
         packer.place(("x",), size)
+
+
+@pytest.mark.parametrize("few", [1 << 16, 3])
+def test_components(spark, monkeypatch, few):
+    """Chains, stars, cycles, repeated edges and loops; with `few` small, nodes of many edges are dealt in parts."""
+    from docproof.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "HOT_KEYS", 10)
+    rng = np.random.default_rng(2)
+    order = rng.permutation(400)
+    pairs = [(order[k], order[k + 1]) for k in range(99)]  # a chain in no order
+    pairs += [(order[100], order[k]) for k in range(101, 180)] + [(order[179], order[k]) for k in range(180, 240)]
+    pairs += [(order[240 + k], order[240 + (k + 1) % 30]) for k in range(30)] * 2 + [(5, 5)]
+    pairs += [(order[a], order[b]) for a, b in rng.integers(280, 400, (60, 2))]
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    name = lambda k: int(k).to_bytes(16, "big")
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "u binary, v binary")
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in components.components(edges).collect()}
+    nodes = {int(x) for a, b in pairs if a != b for x in (a, b)}
+    assert got == {k: find(k) for k in nodes}
+    assert components.components(edges.limit(0)).collect() == []
