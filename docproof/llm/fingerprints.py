@@ -32,6 +32,8 @@ LEXICON_BITS = 20
 MOST_SHARE, LEAST_COUNT = 0.02, 2
 #: Every so many-th lexicon term is in a subset of the scale; subsets of each scale.
 SCALES, SEEDS = (2, 8, 32, 128, 512, 2048), 12
+#: Bounds that a search for a row's range looks at in one step.
+STEP = 256
 
 
 def term_hashes(text: Column) -> Column:
@@ -96,28 +98,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*shares))
 
 
+def even_numbers(spark: SparkSession, ranges: int, parts: int) -> list[int]:
+    """Ascending numbers for so many ranges that the shuffle's hash deals to all partitions alike: number k goes to partition k modulo parts."""
+    found = spark.range(0, 64 * ranges + 64, 1, 1).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).collect()  # some numbers for each range
+    free: dict[int, list[int]] = {}
+    for r in found[::-1]:
+        free.setdefault(r["p"], []).append(r["id"])
+    order = sorted(p for p in free for _ in range(-(-ranges // parts)))
+    return sorted(free[p].pop() for p in order if free[p])[:ranges] if len(free) == parts else list(range(ranges))
+
+
 def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
-    """Adds `range`: rows dealt by descending doc_id into about `parts` runs of equal length, and to
+    """Adds `range`: rows dealt by descending doc_id into about two runs of equal length for each partition, and to
     each run, as a ghost, the first row of the run after it (after the last: of the first run)."""
-    bounds = docs.select("doc_id").where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], F.lit(100 * parts))).first()[0] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]).cast("array<bigint>")
+    spark, runs = docs.sparkSession, max(2, 2 * parts)
+    cuts = docs.select("doc_id").where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], F.lit(100 * runs))).first()[0] or []
+    cuts = sorted(set(cuts))
+    steps = [cuts[k : k + STEP] for k in range(0, len(cuts), STEP)] or [[]]
+    heads = F.array(*[F.lit(s[0]).cast("long") for s in steps if s]).cast("array<bigint>")
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = docs.withColumn("range", F.size(F.filter(bounds, lambda b: b < key)))
+    tails = F.array(*[F.array(*[F.lit(x).cast("long") for x in s]).cast("array<bigint>") for s in steps])
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < key))
+    step = F.greatest(below(heads) - 1, F.lit(0))
+    place = step * STEP + below(F.get(tails, step))
+    numbers = F.array(*[F.lit(n).cast("int") for n in even_numbers(spark, len(cuts) + 1, parts)])
+    rows = docs.withColumn("range", F.get(numbers, place))
     top = F.max_by(F.struct("doc_id", "text"), F.struct(key, F.bitwise_not(F.xxhash64("text"))))
-    heads = rows.groupBy("range").agg(top.alias("top")).withColumn("to", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())))
-    ghosts = heads.select("top.doc_id", "top.text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
+    first = rows.groupBy("range").agg(top.alias("top")).withColumn("to", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())))
+    ghosts = first.select("top.doc_id", "top.text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
     return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, **band: float) -> DataFrame:
     """doc_id, text, edited, next_parts, and the fingerprint parts of text and edited text."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # one row of fixed size (2**LEXICON_BITS bits); Spark takes no subquery inside a lambda
-    bits = F.lit(np.array(lexicon(slim).first()[0], np.int64))
+    bits = F.lit(np.array(lexicon(slim, **band).first()[0], np.int64))
     order = W.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = (
-        in_ranges(slim, max(2, shuffle_parts(docs.sparkSession) * 2))
+        in_ranges(slim, shuffle_parts(docs.sparkSession))
         .withColumn("next", F.lead("text").over(order))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)))
         .drop("next")
