@@ -13,8 +13,8 @@ Every usable row is indexed. Cells are cut into salted blocks, so a cell that ho
 rows is spread over many tasks, and each block answers each query with at most k rows.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, neither as queries nor as candidates; a null vec_id takes no part; rows
-repeated in vec_id count once; with fewer candidates than k all are returned; an empty table gives
+components take no part, neither as queries nor as candidates; a null vec_id takes no part; of
+rows that share a vec_id the smallest vector, component by component, counts; with fewer candidates than k all are returned; an empty table gives
 no rows; further columns are ignored.
 """
 
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from docproof.llm._common import saved, shuffle_parts, small_batches, table
 
-#: Centroids a half; rows of the samples the codebooks and the share are fitted on.
-CENTROIDS, FIT_ROWS, PROBE_QUERIES, PROBE_ROWS = 32, 10_000, 200, 10_000
+#: Centroids a half, by the number of rows: as many as give cells of about CELL_ROWS rows, within these bounds; the upper one keeps
+#: some 40 rows of the sample for each. Rows of the samples the codebooks and the share are fitted on.
+CENTROIDS, CELL_ROWS, FIT_ROWS, PROBE_QUERIES, PROBE_ROWS = (32, 256), 64, 10_000, 200, 10_000
 #: Aimed at in calibration; the promised recall is 0.9.
 RECALL = 0.96
 #: Entries are dealt by their first half's centroid and cut into blocks: of a 12th of all rows, within
@@ -142,7 +143,8 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)
         & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
     )
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).dropDuplicates(["vec_id"])
+    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
     return rows.where(F.size("v") == (width[0] if width else 0))
 
@@ -152,7 +154,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def build(rows: DataFrame, k: int, centroids: int = CENTROIDS, recall: float = RECALL) -> tuple[Index, DataFrame] | None:
+def build(rows: DataFrame, k: int, centroids: int | None = None, recall: float = RECALL) -> tuple[Index, DataFrame] | None:
     """Fits codebooks and share on bounded samples and assigns every row its cell."""
     spark = rows.sparkSession
     order = F.xxhash64("vec_id")
@@ -160,6 +162,9 @@ def build(rows: DataFrame, k: int, centroids: int = CENTROIDS, recall: float = R
     if not sample:
         return None
     x = np.array([r.v for r in sample])
+    if centroids is None:
+        n = len(sample) if len(sample) < FIT_ROWS else rows.count()
+        centroids = min(CENTROIDS[1], max(CENTROIDS[0], round((n / CELL_ROWS) ** 0.5)))
     index = Index(tuple(kmeans(h, centroids) for h in halves(x)), np.zeros(1, int), 1.0, np.array([r.vec_id for r in sample]), x, np.zeros(0, int))
     index.counts, index.sample_cells = np.zeros((len(index.books[0]), len(index.books[1])), int), index.cells(x)
     shared = spark.sparkContext.broadcast(index)
@@ -200,8 +205,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 cells = np.array(shared.value.walk(q), np.int64)
                 mask = np.zeros(index_cells, np.uint8)
                 mask[cells] = 1
-                packed, raw, bound = np.packbits(mask).tobytes(), q.tobytes(), shared.value.bound(i, q, mask, k)
-                rows += [(i, raw, packed, bound, int(p), s) for p in np.unique(cells // second) for s in range(int(salts[p]))]
+                raw, bound = q.tobytes(), shared.value.bound(i, q, mask, k)
+                # a part is told of its own cells alone
+                rows += [(i, raw, np.packbits(mask[p * second : (p + 1) * second]).tobytes(), bound, int(p), s) for p in np.unique(cells // second).tolist() for s in range(int(salts[p]))]
             for first in range(0, len(rows), 5000):
                 cols = list(zip(*rows[first : first + 5000], strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "q", "mask", "bound", "part", "salt"])
@@ -222,7 +228,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             some = slice(at, at + 256)
             scores = np.full((len(asked[some]), len(ids)), -np.inf)
             for first, last in zip(firsts, lasts, strict=True):
-                who = np.flatnonzero(masks[some, cells[first]])
+                who = np.flatnonzero(masks[some, cells[first] % second])
                 scores[who, first:last] = q[some][who] @ x[first:last].T
             for query_id, vector, score, bound in zip(asked[some], q[some], scores, bounds[some], strict=True):
                 score[ids == query_id] = -np.inf
