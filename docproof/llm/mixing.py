@@ -31,8 +31,9 @@ from docproof.llm._common import WORD, saved, table
 SLOT_BITS = 20
 #: Equal parts of [0, 1) by which points and the sources' intervals are joined.
 BINS = 4096
-#: Hash buckets of a source's stream.
-BUCKETS = 256
+#: Hexadecimal digits of a document's hash that name its bucket in the source's stream: 4,096 buckets, so that one holds some hundred
+#: thousand documents where a source has a thousand million.
+BUCKET_DIGITS = 3
 
 
 def source_key(column: str = "source"):
@@ -101,9 +102,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
         F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("place"),
     ).withColumn("uid", F.monotonically_increasing_id())
     sized = saved(sized, "mix")  # texts are read and counted once
-    shares = targets(sized, weights, cap)
-    slots = schedule(shares, slot_bits)
-    bucket = F.conv(F.substring("place", 1, 2), 16, 10).cast("int")
+    shares = saved(targets(sized, weights, cap), "shares")  # one row a source
+    slots = saved(schedule(shares, slot_bits), "slots")  # at most 2**slot_bits
+    bucket = F.conv(F.substring("place", 1, BUCKET_DIGITS), 16, 10).cast("int")
     placed = sized.withColumn("bucket", bucket)
     taken_up_to = slots.groupBy("source").agg((F.count("*") * F.max("block_words")).alias("reach"), F.max("block_words").alias("block_words"))
     facts = shares.join(taken_up_to, "source", "left")
