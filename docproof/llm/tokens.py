@@ -28,7 +28,7 @@ def default_vocabulary() -> str:
 
 #: Words of Latin letters, perhaps with ASCII punctuation after them: one or two pre-tokens whose
 #: boundaries and lower case need no Unicode rules beyond those of single characters.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?()#$%&*]*)")
+PLAIN = re.compile(rb"^(?:((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?()#$%&*]*)|.+)$", re.MULTILINE)
 
 
 def byte_characters() -> np.ndarray:
@@ -77,13 +77,15 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> None:
         plain, counts, parts, other = [], [], [], []
-        for word in words:
-            if m := PLAIN.fullmatch(word):
-                plain.append(word)
-                counts.append(2 if m[2] else 1)
-                parts += m.groups() if m[2] else (word,)
-            else:
+        for word, (stem, tail) in zip(words, PLAIN.findall(b"\n".join(words)), strict=True):
+            if not stem:
                 other.append(word)
+                continue
+            plain.append(word)
+            parts.append(stem)
+            counts.append(2 if tail else 1)
+            if tail:
+                parts.append(tail)
         if plain:
             low = np.frombuffer(b" ".join(parts).decode().lower().encode(), np.uint8)
             text = self.alphabet[low].tobytes().decode("utf-32-le")
