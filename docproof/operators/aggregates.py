@@ -51,17 +51,6 @@ def outlier_grid(rows: DataFrame, doc: str, ratio: str, gold: Column, margins: S
     return based.agg(*aggs).select(F.explode(table).alias("x")).select("x.*")
 
 
-def completeness(opinions: DataFrame, least_chars: int = 1500, least_marks: int = 3) -> DataFrame:
-    """opinion_id, complete, reason from text and marks (label, offset): long enough, a disposition near the end,
-    pagination without gaps."""
-    tail = F.lower(F.substring("text", (F.length("text") * 0.7).cast("int"), 1 << 30))
-    disposed = tail.rlike(r"\b(affirmed|reversed|vacated|remanded|dismissed|denied|granted|so ordered)\b")
-    labels = F.transform("marks", lambda m: m["label"].try_cast("int"))
-    gaps = F.exists(F.zip_with(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), lambda b, a: (b - a) > 1), lambda x: x)
-    reason = F.when(F.length("text") < least_chars, "short").when(~disposed, "no disposition").when(F.size("marks") < least_marks, "few page marks").when(gaps, "pages missing")
-    return opinions.select("opinion_id", reason.isNull().alias("complete"), reason.alias("reason"))
-
-
 def batch_summary(entries: DataFrame, doc: str) -> DataFrame:
     """Per document: counts by overall verdict, most flagged first."""
     out = entries.groupBy(doc).agg(F.count("*").alias("citations"), F.count_if(F.col("overall") == "FLAGGED").alias("flagged"), F.count_if(F.col("overall") == "UNVERIFIED").alias("unverified"), F.count_if(F.col("overall") == "REVIEW").alias("review"), F.count_if(F.col("overall") == "VERIFIED").alias("verified"))

@@ -29,15 +29,6 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def enriched(events: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
-    """Stream-static join."""
-    return events.join(users, key, "left")
-
-
 def token_bucket(events: DataFrame, key: str, capacity: int, seconds: int = 60) -> DataFrame:
     """Admits an event if fewer than `capacity` were admitted for its key in the last `seconds`, else refuses it;
     the state holds the admitted times only."""
