@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docproof.llm import _passages as P
 from docproof.llm._common import mixed, order_key, row_key, shared_dir, shuffle_parts, small_batches, table, text_bytes, text_slices, tidy
 from docproof.llm.tokens import END_ID, default_vocabulary, encoder
 
@@ -43,7 +42,9 @@ STAGED = "kind string, digest binary, body binary, doc_id long, row long, n_toke
 
 def cut_places(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """For each stream the places after which a chunk ends; the last is the stream's end."""
-    rolled = mixed(P.Prefixes(mixed(ids.astype(np.uint64) + np.uint64(1))).sliding(ROLL))
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+    rolled = mixed(sums[ROLL:] - sums[: max(0, len(sums) - ROLL)])  # of the last ids, whatever stands before them
     marks = np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + ROLL
     out, begin = [], 0
     lows, highs = np.searchsorted(marks, np.append(0, ends[:-1]) + LEAST), np.searchsorted(marks, ends)
