@@ -100,9 +100,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def order_key(column: str = "doc_id") -> Column:
+def order_key(column: str | Column = "doc_id") -> Column:
     """doc_id as a sort key without nulls: a null id stands after all others."""
-    return F.coalesce(F.col(column), F.lit(2**63 - 1))
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(2**63 - 1))
 
 
 def row_key(column: str = "doc_id", text: str = "text") -> Column:

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm._common import SLICE_BYTES, mixed, order_key, row_key, shuffle_parts, small_batches, text_slices, tidy
@@ -91,19 +91,33 @@ ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("
 FIELDS = ENTRY.names
 
 
-def pack(cols: dict[str, np.ndarray]) -> bytes:
-    n = len(cols["h"])
-    return np.uint32(n).tobytes() + b"".join(cols[f].astype(ENTRY[f]).tobytes() for f in FIELDS)
+class Planes:
+    """Columns of numbers as planes of bytes: the first bytes of all values, then the second ones, and so on. Ids and places of
+    one payload differ in few of their bytes, and a plane of equal bytes compresses to nothing however few entries the
+    payload has. `widths` names for each column how many of its lower bytes are sent."""
+
+    def __init__(self, **widths: int):
+        self.widths, self.width = widths, sum(widths.values())
+
+    def of(self, cols: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([cols[f].astype("<i8" if cols[f].dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)[:, :w].T for f, w in self.widths.items()])
+
+    def read(self, payloads: list[bytes]) -> dict[str, np.ndarray]:
+        planes = np.concatenate([np.zeros((self.width, 0), np.uint8), *(np.frombuffer(p, np.uint8).reshape(self.width, -1) for p in payloads)], 1)
+        out, at = {}, 0
+        for f, w in self.widths.items():
+            whole = np.zeros((planes.shape[1], 8), np.uint8)
+            whole[:, :w] = planes[at : at + w].T
+            out[f], at = whole.view("<u8").ravel(), at + w
+        return out
+
+
+ENTRIES = Planes(**{f: ENTRY[f].itemsize for f in FIELDS})
 
 
 def unpack(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    parts: dict[str, list] = {f: [np.zeros(0, ENTRY[f])] for f in FIELDS}
-    for p in payloads:
-        n, at = int(np.frombuffer(p, "<u4", 1)[0]), 4
-        for f in FIELDS:
-            parts[f].append(np.frombuffer(p, ENTRY[f], n, at))
-            at += n * ENTRY[f].itemsize
-    return {f: np.concatenate(x) for f, x in parts.items()}
+    cols = ENTRIES.read(payloads)
+    return {f: cols[f].astype(ENTRY[f]) if f == "pos" else cols[f].view(ENTRY[f]) for f in FIELDS}
 
 
 def take(cols: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
@@ -127,12 +141,23 @@ def runs(new: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(new)], strict=True)) if cuts else []
 
 
+def planed(x: np.ndarray) -> bytes:
+    """A column as planes of bytes (see Planes)."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(payload: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(payload, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
 def answer(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, flag: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Positions for documents, as one payload for each bucket of row keys. Documents have a quarter as many
     buckets as hashes: a step's answers are a fraction of its questions, and rows stay few. A payload holds its flag, the
     numbers of documents and positions, then documents, row keys, counts and positions."""
     buckets = max(1, buckets // SPREAD)
-    bucket = (mixed(row.astype(np.int64).view(np.uint64)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    who = (mixed(x.astype(np.int64).view(np.uint64)) for x in (doc, row))
+    bucket = (mixed(next(who) + next(who)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
     order = np.lexsort((pos, row, doc, bucket))
     doc, row, pos, bucket = doc[order], row[order], pos[order], bucket[order]
     owner = np.flatnonzero(starts_of(bucket, doc, row))
@@ -141,7 +166,8 @@ def answer(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, flag: int, buckets
     for a, b in runs(cuts):
         who, first, last = owner[a:b], owner[a], owner[b] if b < len(owner) else len(pos)
         head = bytes([flag]) + np.array([b - a, last - first], "<u4").tobytes()
-        yield 1, int(bucket[first]), head + doc[who].astype("<i8").tobytes() + row[who].astype("<i8").tobytes() + counts[a:b].astype("<u4").tobytes() + pos[first:last].astype("<u4").tobytes()
+        cols = ((doc[who], "<i8"), (row[who], "<i8"), (counts[a:b], "<u4"), (pos[first:last], "<u4"))
+        yield 1, int(bucket[first]), head + b"".join(planed(x.astype(kind)) for x, kind in cols)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +177,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, rows, flags, places = [], [], [], []
         for p in payloads:
             m, n = np.frombuffer(p, "<u4", 2, 1).tolist()
-            counts = np.frombuffer(p, "<u4", m, 9 + 16 * m)
-            docs.append(np.repeat(np.frombuffer(p, "<i8", m, 9), counts))
-            rows.append(np.repeat(np.frombuffer(p, "<i8", m, 9 + 8 * m), counts))
+            counts = unplaned(p, "<u4", m, 9 + 16 * m)
+            docs.append(np.repeat(unplaned(p, "<i8", m, 9), counts))
+            rows.append(np.repeat(unplaned(p, "<i8", m, 9 + 8 * m), counts))
             flags.append(np.full(n, p[0], np.uint8))
-            places.append(np.frombuffer(p, "<u4", n, 9 + 20 * m))
+            places.append(unplaned(p, "<u4", n, 9 + 20 * m))
         doc, row, flag, pos = (np.concatenate(x) for x in (docs, rows, flags, places))
         order = np.lexsort((pos, flag, row, doc))
         doc, row, flag, pos = doc[order], row[order], flag[order], pos[order]
@@ -226,9 +252,9 @@ def dealt(cols: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, int,
     """Entries as one payload for each bucket of h."""
     bucket = bucket_of(cols["h"], buckets)
     order = np.argsort(bucket, kind="stable")  # within a bucket the rows stay together
-    cols, bucket = take(cols, order), bucket[order]
+    bucket, planes = bucket[order], ENTRIES.of(take(cols, order))
     for a, b in runs(starts_of(bucket)):
-        yield 0, int(bucket[a]), pack(take(cols, slice(a, b)))
+        yield 0, int(bucket[a]), planes[:, a:b].tobytes()
 
 
 def first_of_class(cols: dict[str, np.ndarray], within_document: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -256,7 +282,7 @@ def sender(entries: Callable[[pa.RecordBatch], tuple], buckets: int, within_docu
         if through:
             yield from answer(*(np.concatenate(x) for x in zip(*through, strict=True)), SETTLED, buckets)
         kept = take(cols, first)
-        yield from dealt(take(kept, np.lexsort((kept["pos"], kept["row"]))), buckets)  # equal rows side by side compress well
+        yield from dealt(take(kept, np.lexsort((kept["pos"], kept["row"], kept["doc"]))), buckets)  # near ids side by side compress well
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, through, size = [], [], 0
@@ -353,10 +379,23 @@ def classes_decided(within_document: bool):
     return decide
 
 
+#: Repeated ids up to which only their own rows are told apart by a hash.
+FEW_IDS = 1000
+
+
+def short_key(docs: DataFrame) -> Column:
+    """A row's name beside its doc_id, for columns `doc` and row_key's: 0 where the id is not repeated. Every entry holds it, and
+    hashes don't compress. With many repeated ids every row has its hash."""
+    repeated = docs.select(order_key(F.col("doc_id").cast("long")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    found = [r.doc for r in repeated.limit(FEW_IDS + 1).collect()]
+    # never a constant: as one the optimizer would take it out of the keys by which rows are dealt
+    return row_key() if len(found) > FEW_IDS else F.when(order_key().isin(found or [-1]), row_key()).otherwise(0)
+
+
 def base_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """row, doc, text, the id and columns to keep, dealt by row key: one shuffle that every step reads again."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)])
-    rows = slim.select("doc_id", "text", order_key().alias("doc"), row_key().alias("row"), *[f"__keep{k}" for k in range(len(keep))])
+    rows = slim.select("doc_id", "text", order_key().alias("doc"), short_key(docs).alias("row"), *[f"__keep{k}" for k in range(len(keep))])
     return rows.repartition(shuffle_parts(docs.sparkSession), "doc", "row")
 
 

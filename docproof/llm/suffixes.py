@@ -91,13 +91,13 @@ def read_head(payload: bytes) -> tuple[dict[str, np.ndarray], int]:
     """The columns of some surroundings, and where their bytes begin."""
     n, at, cols = int(np.frombuffer(payload, "<u4", 1)[0]), 4, {}
     for name, kind in HEAD:
-        cols[name] = np.frombuffer(payload, kind, n, at)
+        cols[name] = P.unplaned(payload, kind, n, at)
         at += n * cols[name].itemsize
     return cols, at
 
 
 def write_head(cols: dict[str, np.ndarray]) -> bytes:
-    return np.uint32(len(cols["h"])).tobytes() + b"".join(cols[name].astype(kind).tobytes() for name, kind in HEAD)
+    return np.uint32(len(cols["h"])).tobytes() + b"".join(P.planed(cols[name].astype(kind)) for name, kind in HEAD)
 
 
 def context_sender(length: int, buckets: int):
