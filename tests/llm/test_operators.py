@@ -707,3 +707,19 @@ def test_components(spark, monkeypatch, few):
     nodes = {int(x) for a, b in pairs if a != b for x in (a, b)}
     assert got == {k: find(k) for k in nodes}
     assert components.components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 18])
+def test_few_edges_take_no_rounds(spark, monkeypatch, at_once):
+    """The pipeline's driver memory: every round of a small edge list leaves stages and plans with the driver."""
+    from docproof.llm import components as C
+
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    runs = []
+    monkeypatch.setattr(C, "_written", lambda edges, f=C._written: runs.append(1) or f(edges))
+    b = lambda n: n.to_bytes(16, "big")
+    edges = spark.createDataFrame([(b(k + 1), b(k)) for k in range(40) if k != 20] + [(b(99), b(99))], "u binary, v binary")
+    got = {(int.from_bytes(r.node, "big"), int.from_bytes(r.root, "big")) for r in C.components(edges).collect()}
+    assert got == {(k, 0 if k <= 20 else 21) for k in range(41)}
+    assert len(runs) == 1 if at_once else len(runs) > 1
+    assert C.components(edges.where("u = v")).collect() == []
