@@ -13,15 +13,19 @@ with the taken words; one that it takes nothing of goes.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.llm import mixing, packing, shingles, substrings, toxicity
-from docproof.llm._common import WORD, order_key, row_key, shared_dir, table
+from docproof.llm._common import WORD, order_key, released, row_key, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The stages go through word runs, Jaccard chains and token streams: no SQL states them.
 ORACLE_SQL = None
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def with_text(docs: DataFrame, text: Column, changed: Column) -> DataFrame:
@@ -71,12 +75,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def after_release(stage: Stage) -> Stage:
+    """The stage, begun without what earlier ones left in the driver's memory."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("jaccard", jaccard_stage),
-    ("substrings", substring_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("toxicity", after_release(toxicity_stage)),
+    ("jaccard", after_release(jaccard_stage)),
+    ("substrings", after_release(substring_stage)),
+    ("mixing", after_release(mixing_stage)),
+    ("packing", after_release(packing_stage)),
 ]
 
 

@@ -723,3 +723,28 @@ def test_few_edges_take_no_rounds(spark, monkeypatch, at_once):
     assert got == {(k, 0 if k <= 20 else 21) for k in range(41)}
     assert len(runs) == 1 if at_once else len(runs) > 1
     assert C.components(edges.where("u = v")).collect() == []
+
+
+def test_released_gives_back_what_the_jvm_freed_outside_its_heap(spark):
+    """The pipeline's driver memory: glibc kept a third of a GB that the JVM had freed."""
+    import re
+    from pathlib import Path
+
+    from docproof.llm._common import released
+
+    jvm = spark._jvm
+    pid = jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getName().split("@")[0]
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+
+    for _ in range(2):
+        jvm.System.gc()
+    used = [jvm.java.util.zip.Deflater() for _ in range(1600)]
+    for d in used[:-1]:  # the last one stands above all that was freed
+        d.end()
+    jvm.System.gc()
+    before = held()
+    released(spark)
+    assert held() < before - 60
+    used[-1].end()

@@ -58,3 +58,13 @@ def test_jaccard_keeps_unrelated_texts_of_null_and_repeated_ids(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, sf).collect()]
     assert sorted(got, key=str) == sorted([(None, texts[1]), (5, texts[2] + " more"), (7, texts[3]), (7, texts[4]), (9, texts[0] + " more")], key=str)
+
+
+def test_stages_begin_with_a_release(spark, sf, monkeypatch):
+    """A stage's driver memory must not stand on what the stages before it left."""
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "released", lambda s, f=corpus_pipeline.released: calls.append(s) or f(s))
+    docs = spark.createDataFrame([], SCHEMA)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf)
+        assert len(calls) == k + 1
