@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("docproof.llm")
 
 from docproof.llm import _passages as passages  # noqa: E402
-from docproof.llm import fingerprints, licenses, mixing, neighbours, packing, shingles, substrings, suffixes, token_store, toxicity  # noqa: E402
+from docproof.llm import fingerprints, licenses, mixing, neighbours, packing, shingles, substrings, suffixes, token_store, tokens, toxicity  # noqa: E402
 from docproof.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 from docproof.llm.tokens import default_vocabulary, encoder  # noqa: E402
 
@@ -208,6 +208,28 @@ def test_word_encoder_forgets_and_learns_again(library):
         assert small.encode([text.encode()])[0].tolist() == library(text).tolist()
 
 
+def test_word_encoder_learns_each_piece_once():
+    enc = tokens.WordEncoder(default_vocabulary(), 600_000)
+    asked = []
+    learn = enc.learn
+    enc.learn = lambda pieces, other: asked.extend(pieces) or learn(pieces, other)
+    for text in ("Word word. WORD, (word)", "été ÉTÉ, Été. 12 21 word", "it's <|endoftext|>, word", "It's word."):
+        enc.encode([text.encode()])
+    plain = ["word", ".", ",", "(", ")", "été", "1", "2"]
+    assert sorted(asked) == sorted(x.encode() for x in [*plain, "it's", "It's", "<|endoftext|>,"])
+
+
+def test_word_encoder_cuts_as_the_library(library):
+    enc, r = tokens.WordEncoder(default_vocabulary(), 600_000), np.random.default_rng(3)
+    texts = ["J\u030c \u1e96 i\u0307", "a\u0301 x\x85y \x1c", "ΟΔΟΣ ÀÉ×÷ÿßŸ", "a1b22.3,,x", "ABC's'T don't", "<|startoftext|>x|y<z", "日本語 テスト。", "\x00a\x7f", ""]
+    texts += ["".join(r.choice(list("aZzÉéß×÷' .,!?<|>01\t\n\u0301日İΣ_-\"stdlm"), 60)) for _ in range(300)]
+    ids, ends = enc.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, ends)] == [*(library(t).tolist() for t in texts), []]
+    broken = [b"\xc3", b"\xc3 \x80 \xc3\xc3\x80 a\xff"]
+    ids, ends = enc.encode(broken)
+    assert [x.tolist() for x in np.split(ids, ends)] == [*(library(t.decode("utf-8", "replace")).tolist() for t in broken), []]
+
+
 def test_op3(spark, sf, docs, library):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op3_token_store"](spark, sf).collect()}
     start = 0
